@@ -22,10 +22,17 @@ from tripmesh.config import Settings
 
 @dataclass(frozen=True)
 class Lookup:
-    """A table and an upper bound on its row count, None if unknown."""
+    """A table and an upper bound on its row count, None if unknown.
+
+    ``null_safe`` lets null keys meet. Where the table comes from the facts
+    themselves this changes nothing but the plan: an ordinary equality makes
+    Spark filter one side to non-null keys, and the two sides could then not
+    read the same shuffle.
+    """
 
     df: DataFrame
     rows: int | None = None
+    null_safe: bool = False
 
     @classmethod
     def measured(cls, df: DataFrame) -> Lookup:
@@ -40,7 +47,7 @@ class Lookup:
 def per_day(df: DataFrame, settings: Settings, rows_per_day: int = 1) -> Lookup:
     """A table with at most ``rows_per_day`` rows for each arrival day."""
     days = settings.day_bound
-    return Lookup(df, None if days is None else days * rows_per_day)
+    return Lookup(df, None if days is None else days * rows_per_day, null_safe=True)
 
 
 def attach(
@@ -67,6 +74,9 @@ def attach(
         side = side.withColumn("_lookup__bucket", F.explode(buckets))
         keys["_bucket"] = "_lookup__bucket"
 
-    equal = [F.col(fact_key) == F.col(lookup_key) for fact_key, lookup_key in keys.items()]
+    equal = [
+        F.col(k).eqNullSafe(F.col(v)) if lookup.null_safe else F.col(k) == F.col(v)
+        for k, v in keys.items()
+    ]
     condition = reduce(and_, equal + ([] if also is None else [also]))
     return facts.join(side, condition, how).drop("_bucket", *keys.values())

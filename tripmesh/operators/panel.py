@@ -23,35 +23,45 @@ def time_grid(days: DataFrame, settings: Settings) -> DataFrame:
     return grid.withColumn("t_local", local_wall(F.col("t_s"), settings.timezone))
 
 
-def on_grid(flights: DataFrame, settings: Settings) -> DataFrame:
-    """Flights that depart inside their arrival day, with its ``start_s`` and ``end_s``.
+def with_grid(flights: DataFrame, settings: Settings) -> DataFrame:
+    """Add ``start_s`` and ``end_s`` of the arrival day."""
+    start, end = grid_bounds(settings)
+    return flights.withColumns({"start_s": start, "end_s": end})
+
 
-    Applied before any expansion: a flight from the day before never gets rows.
+def at_times(flights: DataFrame, times: Column) -> DataFrame:
+    """One row per time for flights that depart inside their arrival day, none for the others.
+
+    The condition sits in the exploded array and not in a filter. A filter would
+    sink below the deduplication of the flights, and branches with and without
+    it could no longer read the same shuffle.
     """
-    start, end = grid_bounds(settings)
-    return flights.withColumns({"start_s": start, "end_s": end}).filter(
-        F.col("dep_s") >= F.col("start_s")
-    )
+    inside = F.when(F.col("dep_s") >= F.col("start_s"), times)
+    return flights.withColumn("t_s", F.explode(inside)).drop("start_s", "end_s")
+
+
+def days_with_flights(flights: DataFrame, settings: Settings) -> DataFrame:
+    """Arrival days on which a flight also departs: those that have a timeline."""
+    latest = flights.groupBy("day").agg(F.max("dep_s").alias("latest"))
+    start, _ = grid_bounds(settings)
+    return latest.filter(F.col("latest") >= start).select("day")
 
 
 def timeline_expand(flights: DataFrame, settings: Settings) -> DataFrame:
     """Each flight at each minute of its arrival day."""
     times = grid_times(F.col("start_s"), F.col("end_s"), settings.step_s)
-    expanded = on_grid(flights, settings).withColumn("t_s", F.explode(times))
-    return expanded.drop("start_s", "end_s")
+    return at_times(with_grid(flights, settings), times)
 
 
-def expand_at(
-    flights: DataFrame, times: DataFrame, settings: Settings
-) -> DataFrame:
+def expand_at(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
     """Each flight at the given times (``day``, ``t_s``) of its arrival day.
 
     The times of a day become one array, at most a grid long, so only wanted
     minutes are ever made.
     """
     per = times.groupBy("day").agg(F.collect_list("t_s").alias("times"))
-    joined = attach(on_grid(flights, settings), per_day(per, settings), ["day"], settings, how="inner")
-    return joined.withColumn("t_s", F.explode("times")).drop("times", "start_s", "end_s")
+    joined = attach(flights, per_day(per, settings), ["day"], settings, how="inner")
+    return at_times(with_grid(joined, settings), F.col("times")).drop("times")
 
 
 def flight_states(panel: DataFrame, settings: Settings) -> DataFrame:

@@ -13,7 +13,14 @@ from tripmesh.config import Settings
 from tripmesh.functions.time import grid_times
 from tripmesh.operators.geometry import project_positions
 from tripmesh.operators.lookup import attach, per_day
-from tripmesh.operators.panel import POSITION_COLUMNS, expand_at, flight_states, on_grid, positions
+from tripmesh.operators.panel import (
+    POSITION_COLUMNS,
+    at_times,
+    expand_at,
+    flight_states,
+    positions,
+    with_grid,
+)
 
 
 def sampled_positions(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
@@ -30,9 +37,8 @@ def airborne_positions(flights: DataFrame, times: DataFrame, settings: Settings)
     step = settings.step_s
     first = F.ceil((F.col("dep_s") - F.col("start_s")) / step)
     last = F.floor((F.col("arr_s") - F.col("start_s")) / step)
-    airborne = on_grid(flights, settings).filter(first <= last)
     minutes = grid_times(F.col("start_s") + first * step, F.col("start_s") + last * step, step)
-    expanded = airborne.withColumn("t_s", F.explode(minutes)).drop("start_s", "end_s")
+    expanded = at_times(with_grid(flights, settings), F.when(first <= last, minutes))
     wanted = per_day(times.select("day", "t_s"), settings, rows_per_day=_grid_rows(settings))
     kept = attach(expanded, wanted, ["day", "t_s"], settings, how="left_semi")
     placed = positions(flight_states(kept, settings))

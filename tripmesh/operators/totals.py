@@ -3,9 +3,9 @@
 ``emissions_timeline`` never builds the flight by minute panel. The mass a flight
 has emitted is piecewise linear in time, so the total of a day is described by
 the minutes where a flight starts, lands or leaves the air, and by how slope and
-offset change there. Each flight makes three such changes, map tasks add them up
+offset change there. Each flight makes a few such changes, map tasks add them up
 per (day, minute), and a running sum over at most one grid of rows per day turns
-them into totals. ``emissions_timeline_exploded`` gets the same numbers from the
+them into totals. Only the keys of the flights are shuffled, to count each once. ``emissions_timeline_exploded`` gets the same numbers from the
 panel and serves as a check.
 """
 
@@ -21,8 +21,8 @@ from tripmesh.operators.panel import (
     cumulative_emissions,
     flight_states,
     grid_bounds,
-    on_grid,
     timeline_expand,
+    with_grid,
 )
 
 _COUNTS = ("num_flights", "arrived", "planes_in_air")
@@ -49,56 +49,80 @@ def _change_columns() -> list[str]:
     return [*suffixed("slope"), *suffixed("offset"), *_COUNTS]
 
 
-def _one_row_per_flight(inside: DataFrame) -> DataFrame:
-    """Collapse the fan-out copies of a flight, summing their masses.
+def _mass_changes(gridded: DataFrame, step: int) -> DataFrame:
+    """Changes of masses, arrivals and planes in the air, three rows per flight and fan-out copy.
 
     A copy with either mass missing emits nothing, as its minute values would be null.
     """
-    sums = [
-        F.expr(
-            f"coalesce(sum({p}_{part}) FILTER (WHERE {p}_ccd IS NOT NULL AND {p}_lto IS NOT NULL), 0D)"
-            f" AS {p}_{part}"
-        )
-        for p in POLLUTANTS
-        for part in ("ccd", "lto")
-    ]
-    return inside.groupBy("day", "icao24", "dep_s", "arr_s").agg(
-        F.first("start_s").alias("start_s"), F.count("*").alias("copies"), *sums
-    )
-
-
-def minute_changes(emissions: DataFrame, settings: Settings) -> DataFrame:
-    """Change of slope, offset and counts per (``day``, ``k``), the k-th grid minute.
-
-    A flight is counted once, its masses and arrivals once per fan-out copy.
-    """
-    step = settings.step_s
-    flight = _one_row_per_flight(on_grid(emissions, settings)).selectExpr(
-        "day",
-        "copies",
-        "dep_s - start_s AS rel_dep",
-        "arr_s - start_s AS rel_arr",
-        *suffixed("lto"),
-        *suffixed("ccd"),
-        *[f"coalesce({p}_ccd / nullif(arr_s - dep_s, 0), 0D) AS {p}_slope" for p in POLLUTANTS],
+    known = "{p}_ccd IS NOT NULL AND {p}_lto IS NOT NULL"
+    parts = []
+    for p in POLLUTANTS:
+        parts += [f"if({known.format(p=p)}, {p}_{part}, 0D) AS {p}_{part}" for part in ("ccd", "lto")]
+    flight = gridded.selectExpr(
+        "day", "dep_s - start_s AS rel_dep", "arr_s - start_s AS rel_arr", *parts
+    ).selectExpr(
+        "*",
+        *[f"coalesce({p}_ccd / nullif(rel_arr - rel_dep, 0), 0D) AS {p}_slope" for p in POLLUTANTS],
     )
 
-    def change(k: str, slope: str, offset: str, *counts: str) -> str:
+    def change(k: str, slope: str, offset: str, **counts: int) -> str:
         values = [f"{slope.format(p=p)} AS {p}_slope" for p in POLLUTANTS]
         values += [f"{offset.format(p=p)} AS {p}_offset" for p in POLLUTANTS]
-        values += [f"cast({c} AS bigint) AS {name}" for c, name in zip(counts, _COUNTS)]
-        return f"struct(cast({k} AS bigint) AS k, {', '.join(values)})"
+        values += [f"{counts.get(name, 0)}L AS {name}" for name in _COUNTS]
+        return f"struct(cast({k} AS bigint) AS k, rel_dep >= 0 AS inside, {', '.join(values)})"
 
     takes_off = change(
-        f"ceil(rel_dep / {step})", "{p}_slope", "{p}_lto - {p}_slope * rel_dep", "1", "0", "copies"
+        f"ceil(rel_dep / {step})", "{p}_slope", "{p}_lto - {p}_slope * rel_dep", planes_in_air=1
     )
     lands = change(
-        f"ceil(rel_arr / {step})", "-{p}_slope", "{p}_ccd + {p}_slope * rel_dep", "0", "copies", "0"
+        f"ceil(rel_arr / {step})", "-{p}_slope", "{p}_ccd + {p}_slope * rel_dep", arrived=1
     )
-    leaves_air = change(f"floor(rel_arr / {step}) + 1", "0D", "0D", "0", "0", "-copies")
+    leaves_air = change(f"floor(rel_arr / {step}) + 1", "0D", "0D", planes_in_air=-1)
     changes = flight.selectExpr("day", f"inline(array({takes_off}, {lands}, {leaves_air}))")
-    return changes.groupBy("day", "k").agg(
-        *[F.expr(f"sum({v}) AS {v}") for v in _change_columns()]
+    return changes.filter("inside").drop("inside")
+
+
+def _flight_changes(gridded: DataFrame, step: int) -> DataFrame:
+    """Departures, each flight once however often it fans out.
+
+    Deduplication needs the keys only, so the shuffle is narrow and the lookup
+    joins behind ``gridded`` fall away.
+    """
+    flights = gridded.select("day", "icao24", "dep_s", "arr_s", "start_s").distinct()
+    return (
+        flights.selectExpr(
+            "day",
+            f"cast(ceil((dep_s - start_s) / {step}) AS bigint) AS k",
+            "dep_s >= start_s AS inside",
+        )
+        .groupBy("day", "k")
+        .agg(F.count_if("inside").alias("num_flights"))
+        .filter("num_flights > 0")
+    )
+
+
+def minute_changes(emissions: DataFrame, settings: Settings) -> DataFrame:
+    """Change of slope, offset and counts per (``day``, ``k``), the k-th grid minute.
+
+    Flights from the day before are left out after the expansion or after the
+    count, so that all branches read one shuffle of the flights (see ``at_times``).
+    """
+    gridded = with_grid(emissions, settings)
+    masses = _mass_changes(gridded, settings.step_s)
+    flights = _flight_changes(gridded, settings.step_s)
+    return (
+        masses.unionByName(
+            flights.selectExpr(
+                "day",
+                "k",
+                *[f"0D AS {v}" for v in suffixed("slope") + suffixed("offset")],
+                "num_flights",
+                "0L AS arrived",
+                "0L AS planes_in_air",
+            )
+        )
+        .groupBy("day", "k")
+        .agg(*[F.expr(f"sum({v}) AS {v}") for v in _change_columns()])
     )
 
 
@@ -108,22 +132,22 @@ def emissions_timeline(
     """Per day and minute: cumulative masses, flights departed, passengers arrived, planes in the air."""
     step = settings.step_s
     start, end = grid_bounds(settings)
-    changes = (
-        minute_changes(emissions, settings)
-        .withColumns({"start_s": start, "last_k": F.floor((end - start) / step)})
-        .filter("k <= last_k")
+    changes = minute_changes(emissions, settings).withColumns(
+        {"start_s": start, "last_k": F.floor((end - start) / step)}
     )
     by_minute = "PARTITION BY day ORDER BY k"
     running = changes.selectExpr(
         "day",
         "k",
         "start_s",
+        "last_k",
         f"if(row_number() OVER ({by_minute}) = 1, 0, k) AS from_k",
-        f"coalesce(lead(k) OVER ({by_minute}) - 1, last_k) AS to_k",
+        f"least(lead(k) OVER ({by_minute}) - 1, last_k) AS to_k",
         *[f"sum({v}) OVER ({by_minute} ROWS UNBOUNDED PRECEDING) AS {v}" for v in _change_columns()],
     )
     # Each change holds until the next one; the first also stands for the empty minutes before it.
-    filled = running.selectExpr("*", "explode(sequence(from_k, to_k)) AS grid_k")
+    minutes = "if(k <= last_k, sequence(from_k, to_k), cast(array() AS array<bigint>))"
+    filled = running.selectExpr("*", f"explode({minutes}) AS grid_k")
     totals = filled.selectExpr(
         "day",
         f"start_s + grid_k * {step} AS t_s",

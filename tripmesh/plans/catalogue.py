@@ -9,7 +9,6 @@ others run on every day.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ QUERIES: dict[str, Query] = {}
 # Decimals kept in registered outputs, by kind of column.
 MASS, SUM, DEGREES, METRES, MONEY = 3, 1, 5, 1, 0
 
-_OPENED: dict[str, tuple[SparkSession, Analysis]] = {}
+_OPENED: dict[str, tuple[SparkSession, dict[bool, Analysis]]] = {}
 
 
 def query(f: Query) -> Query:
@@ -63,16 +62,17 @@ def query_as(name: str) -> Callable[[Query], Query]:
 
 def analysis(spark: SparkSession, sf_dir: str, one_day: bool = False) -> Analysis:
     """The analysis of one data folder. Inputs are opened and measured once per session and folder."""
-    session, opened = _OPENED.get(sf_dir, (None, None))
+    session, opened = _OPENED.get(sf_dir, (None, {}))
     if session is not spark:
         events = fixtures.events(spark, sf_dir)
         raw = fixtures.flights_raw(events)
         tables = measured_tables(
             fixtures.aircraft_map(events), fixtures.emission_curve(spark), fixtures.airports(spark)
         )
-        opened = Analysis(raw, tables, measured_settings(raw, Settings()))
+        settings = measured_settings(raw, Settings())
+        opened = {one: Analysis(raw, tables, settings, one) for one in (False, True)}
         _OPENED[sf_dir] = (spark, opened)
-    return replace(opened, one_day=one_day)
+    return opened[one_day]
 
 
 def shown(df: DataFrame, digits: int = MASS, **by_column: int) -> DataFrame:
@@ -131,7 +131,7 @@ def airports_load(spark, sf_dir):
     """The directory, with the flights that leave from and arrive at each airport."""
     path = scratch_path(spark, "airports")
     spark.range(1).select(F.lit(fixtures.airport_document()).alias("value")).write.text(path)
-    flights = analysis(spark, sf_dir).flights()
+    flights = analysis(spark, sf_dir).flights
     ends = flights.select(
         F.explode(
             F.array(
@@ -152,7 +152,7 @@ def airports_load(spark, sf_dir):
 @query
 def overlap_windows(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return shown(coverage.overlap_windows(a.flights(), a.settings))
+    return shown(coverage.overlap_windows(a.flights, a.settings))
 
 
 # --- cleaning and coverage --------------------------------------------------
@@ -160,62 +160,62 @@ def overlap_windows(spark, sf_dir):
 
 @query
 def flights_clean(spark, sf_dir):
-    return shown(analysis(spark, sf_dir).flights())
+    return shown(analysis(spark, sf_dir).flights)
 
 
 @query
 def hourly_coverage(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return shown(coverage.hourly_coverage(a.flights(), a.settings))
+    return shown(coverage.hourly_coverage(a.flights, a.settings))
 
 
 @query
 def coverage_pivot(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    hourly = coverage.hourly_coverage(a.flights(), a.settings)
+    hourly = coverage.hourly_coverage(a.flights, a.settings)
     hourly = hourly.withColumn("day", F.col("day").cast("string"))
     return coverage.coverage_pivot(hourly, [f"2024-01-{d:02d}" for d in range(1, 32)])
 
 
 @query
 def interior_dates(spark, sf_dir):
-    return shown(coverage.interior_dates(coverage.arrivals_per_hour(analysis(spark, sf_dir).flights())))
+    return shown(coverage.interior_dates(coverage.arrivals_per_hour(analysis(spark, sf_dir).flights)))
 
 
 @query
 def date_completeness(spark, sf_dir):
-    hourly = coverage.arrivals_per_hour(analysis(spark, sf_dir).flights())
+    hourly = coverage.arrivals_per_hour(analysis(spark, sf_dir).flights)
     return shown(coverage.date_completeness(coverage.interior_dates(hourly)))
 
 
 @query
 def choose_date(spark, sf_dir):
-    return shown(analysis(spark, sf_dir).chosen_date())
+    return shown(analysis(spark, sf_dir).chosen_date)
 
 
 @query
 def flights_on_date(spark, sf_dir):
-    return shown(analysis(spark, sf_dir, one_day=True).flights())
+    return shown(analysis(spark, sf_dir, one_day=True).flights)
 
 
 @query
 def time_extent(spark, sf_dir):
-    return shown(coverage.time_extent(analysis(spark, sf_dir).flights()))
+    return shown(coverage.time_extent(analysis(spark, sf_dir).flights))
 
 
 @query
 def route_filter(spark, sf_dir):
-    return shown(analysis(spark, sf_dir).route_flights())
+    return shown(analysis(spark, sf_dir).route_flights)
 
 
 @query
 def route_list(spark, sf_dir):
-    return clean.route_list(analysis(spark, sf_dir).route_flights())
+    return clean.route_list(analysis(spark, sf_dir).route_flights)
 
 
 @query
 def first_departures(spark, sf_dir):
-    return shown(coverage.first_departures(analysis(spark, sf_dir).route_flights()))
+    return shown(coverage.first_departures(analysis(spark, sf_dir).route_flights))
 
 
 # --- emissions per flight ---------------------------------------------------
@@ -226,12 +226,12 @@ FLIGHT = ("day", "icao24", "dep_s", "arr_s", "dep_airport", "arr_airport")
 @query
 def aircraft_type_join(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    typed = emissions.aircraft_type_join(a.route_flights(), a.tables.register, a.settings)
+    typed = emissions.aircraft_type_join(a.route_flights, a.tables.register, a.settings)
     return shown(typed.select(*FLIGHT, "typecode"))
 
 
 def _named(a: Analysis) -> DataFrame:
-    typed = emissions.aircraft_type_join(a.route_flights(), a.tables.register, a.settings)
+    typed = emissions.aircraft_type_join(a.route_flights, a.tables.register, a.settings)
     return emissions.aircraft_id_join(typed, a.tables.curve, a.settings)
 
 
@@ -284,18 +284,18 @@ def ccd_interpolate(spark, sf_dir):
 
 @query
 def fill_with_mean(spark, sf_dir):
-    filled = analysis(spark, sf_dir).emissions()
+    filled = analysis(spark, sf_dir).emissions
     return shown(filled.select(*FLIGHT, "aircraft_id", *suffixed("lto"), *suffixed("ccd")))
 
 
 @query
 def flight_emissions(spark, sf_dir):
-    return shown(analysis(spark, sf_dir).emissions(), factor=6)
+    return shown(analysis(spark, sf_dir).emissions, factor=6)
 
 
 @query
 def daily_totals(spark, sf_dir):
-    return shown(emissions.daily_totals(analysis(spark, sf_dir).emissions()), SUM)
+    return shown(emissions.daily_totals(analysis(spark, sf_dir).emissions), SUM)
 
 
 # --- geometry and timeline --------------------------------------------------
@@ -304,14 +304,14 @@ def daily_totals(spark, sf_dir):
 @query
 def airport_join(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    placed = geometry.airport_join(a.route_flights(), a.tables.airports, a.settings)
+    placed = geometry.airport_join(a.route_flights, a.tables.airports, a.settings)
     return shown(placed.select(*FLIGHT, "dep_lat", "dep_lon", "arr_lat", "arr_lon"), 6)
 
 
 @query
 def route_bearing(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    placed = geometry.airport_join(a.route_flights(), a.tables.airports, a.settings)
+    placed = geometry.airport_join(a.route_flights, a.tables.airports, a.settings)
     turned = geometry.route_bearing(placed)
     return shown(turned.select(*FLIGHT, "delta_lat", "delta_lon", "bearing"), 6)
 
@@ -319,7 +319,7 @@ def route_bearing(spark, sf_dir):
 @query
 def jittered_endpoints(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    moved = a.located(a.route_flights())
+    moved = a.locate(a.route_flights)
     ends = ("dep_lat", "dep_lon", "arr_lat", "arr_lon", "mid_lat_jitter", "mid_lon_jitter")
     return shown(moved.select(*FLIGHT, *ends), 6)
 
@@ -327,13 +327,13 @@ def jittered_endpoints(spark, sf_dir):
 @query
 def time_grid(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return shown(panel.time_grid(a.route_flights().select("day").distinct(), a.settings))
+    return shown(panel.time_grid(a.route_flights.select("day").distinct(), a.settings))
 
 
 @query
 def timeline_expand(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    return panel.timeline_expand(a.emissions(), a.settings).select(
+    return panel.timeline_expand(a.emissions, a.settings).select(
         "icao24", "dep_s", "arr_s", "aircraft_id", "t_s"
     )
 
@@ -344,14 +344,14 @@ STATES = ("has_departed", "has_arrived", "in_air", "taxiing_departure", "taxiing
 @query
 def flight_states(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    states = panel.flight_states(panel.timeline_expand(a.route_flights(), a.settings), a.settings)
+    states = panel.flight_states(panel.timeline_expand(a.route_flights, a.settings), a.settings)
     return shown(states.select("icao24", "dep_s", "arr_s", "t_s", *STATES, "progress"), 6)
 
 
 @query
 def cumulative_emissions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    states = panel.flight_states(panel.timeline_expand(a.emissions(), a.settings), a.settings)
+    states = panel.flight_states(panel.timeline_expand(a.emissions, a.settings), a.settings)
     masses = panel.cumulative_emissions(states)
     return shown(masses.select("icao24", "dep_s", "arr_s", "t_s", *POLLUTANTS))
 
@@ -359,14 +359,14 @@ def cumulative_emissions(spark, sf_dir):
 @query
 def positions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    table = panel.position_table(panel.timeline(a.located(), a.settings))
+    table = panel.position_table(panel.timeline(a.located, a.settings))
     return shown(table, DEGREES)
 
 
 @query
 def timeline(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    whole = panel.timeline(a.located(), a.settings)
+    whole = panel.timeline(a.located, a.settings)
     columns = ("icao24", "dep_s", "arr_s", "aircraft_id", "t_s", "t_local")
     return shown(
         whole.select(*columns, *STATES, "progress", *POLLUTANTS, "longitude", "latitude", "bearing"),
@@ -380,44 +380,39 @@ def timeline(spark, sf_dir):
 
 @query
 def passengers_per_flight(spark, sf_dir):
-    return shown(analysis(spark, sf_dir).passengers(), 6)
+    return shown(analysis(spark, sf_dir).passengers, 6)
 
 
 @query
 def emissions_timeline(spark, sf_dir):
-    return shown(analysis(spark, sf_dir).minute_totals(), SUM)
+    return shown(analysis(spark, sf_dir).minute_totals, SUM)
 
 
 @query
 def emissions_timeline_exploded(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    whole = totals.emissions_timeline_exploded(a.emissions(), a.passengers(), a.settings)
+    whole = totals.emissions_timeline_exploded(a.emissions, a.passengers, a.settings)
     return shown(whole, SUM)
 
 
 # --- view and pricing -------------------------------------------------------
 
 
-def _sampled(a: Analysis) -> DataFrame:
-    return sampling.sampled_totals(a.minute_totals(), a.settings)
-
-
 @query
 def sampled_times(spark, sf_dir):
-    a = analysis(spark, sf_dir)
-    return shown(sampling.sampled_times(a.minute_totals(), a.settings))
+    return shown(analysis(spark, sf_dir).sampled_times)
 
 
 @query
 def sampled_positions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    return shown(snapshots.sampled_positions(a.located(), _sampled(a), a.settings), DEGREES)
+    return shown(snapshots.sampled_positions(a.located, a.sampled_times, a.settings), DEGREES)
 
 
 @query
 def project_positions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    placed = snapshots.sampled_positions(a.located(), _sampled(a), a.settings)
+    placed = snapshots.sampled_positions(a.located, a.sampled_times, a.settings)
     projected = geometry.project_positions(placed)
     return shown(projected.select("icao24", "dep_s", "t_s", "x", "y"), METRES)
 
@@ -427,23 +422,23 @@ DAMAGES = tuple(f"{p}_damage" for p in PRICED) + ("total_damage",)
 
 @query_as("damages")
 def _damages(spark, sf_dir):
-    priced = damages.damages(_sampled(analysis(spark, sf_dir)))
+    priced = damages.damages(analysis(spark, sf_dir).sampled_totals)
     return shown(priced.select("day", "t_s", *DAMAGES), MONEY)
 
 
 @query
 def damages_by_scenario(spark, sf_dir):
-    priced = damages.damages_by_scenario(_sampled(analysis(spark, sf_dir)))
+    priced = damages.damages_by_scenario(analysis(spark, sf_dir).sampled_totals)
     return shown(priced.select("scenario", "day", "t_s", *DAMAGES), MONEY)
 
 
 @query
 def flight_count_total(spark, sf_dir):
-    return shown(sampling.flight_count_total(_sampled(analysis(spark, sf_dir))))
+    return shown(sampling.flight_count_total(analysis(spark, sf_dir).sampled_totals))
 
 
 def _last_rows(a: Analysis) -> DataFrame:
-    return damages.damages(sampling.final_record(a.minute_totals()))
+    return damages.damages(sampling.final_record(a.minute_totals))
 
 
 @query
@@ -453,13 +448,13 @@ def final_totals(spark, sf_dir):
 
 @query
 def planes_in_air(spark, sf_dir):
-    return shown(sampling.planes_in_air(_sampled(analysis(spark, sf_dir))))
+    return shown(sampling.planes_in_air(analysis(spark, sf_dir).sampled_totals))
 
 
 @query
 def peak_positions(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    placed = snapshots.peak_positions(a.located(), sampling.peak_times(_sampled(a)), a.settings)
+    placed = snapshots.peak_positions(a.located, sampling.peak_times(a.sampled_totals), a.settings)
     columns = ("day", "t_s", "icao24", "dep_s", "in_air", "bearing", "x", "y")
     return shown(placed.select(*columns), DEGREES, x=METRES, y=METRES)
 
@@ -467,8 +462,8 @@ def peak_positions(spark, sf_dir):
 @query
 def minute_snapshots(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    priced = damages.damages(_sampled(a))
-    rows = snapshots.minute_snapshots(a.located(), priced, a.settings)
+    priced = damages.damages(a.sampled_totals)
+    rows = snapshots.minute_snapshots(a.located, priced, a.settings)
     columns = ("day", "t_s", "icao24", "dep_s", "x", "y", "bearing", "num_flights")
     return shown(
         rows.select(*columns, "passengers_arrived", *PRICED.values(), "total_damage"),
@@ -484,7 +479,7 @@ def minute_snapshots(spark, sf_dir):
 @query
 def sink_parquet_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "totals")
-    write_sorted_parquet(analysis(spark, sf_dir).minute_totals(), path, "day", "t_s")
+    write_sorted_parquet(analysis(spark, sf_dir).minute_totals, path, "day", "t_s")
     return shown(read_results(spark, path), SUM)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmesh.config import Settings
-from tripmesh.operators import clean, coverage, emissions, geometry, totals
+from tripmesh.operators import clean, coverage, emissions, geometry, panel, sampling, totals
 from tripmesh.operators.emissions import Tables
 from tripmesh.operators.lookup import Lookup
 
@@ -30,35 +31,57 @@ def measured_tables(register: DataFrame, curve: DataFrame, airports: DataFrame)
 
 @dataclass(frozen=True)
 class Analysis:
-    """Everything computed from landed records. ``day`` limits it to the chosen date."""
+    """Everything computed from landed records. ``one_day`` limits it to the chosen date.
+
+    Each frame is put together once, so that its uses share one plan.
+    """
 
     raw: DataFrame
     tables: Tables
     settings: Settings
     one_day: bool = False
 
+    @cached_property
+    def chosen_date(self) -> DataFrame:
+        return coverage.choose_date(clean.arrivals(self.raw, self.settings))
+
+    @cached_property
     def flights(self) -> DataFrame:
         """Clean flights, of all days or of the chosen date."""
         flights = clean.flights_clean(self.raw, self.settings)
-        return coverage.flights_on_date(flights, self.chosen_date()) if self.one_day else flights
-
-    def chosen_date(self) -> DataFrame:
-        return coverage.choose_date(clean.arrivals(self.raw, self.settings))
+        return coverage.flights_on_date(flights, self.chosen_date) if self.one_day else flights
 
+    @cached_property
     def route_flights(self) -> DataFrame:
-        return clean.route_filter(self.flights(), self.settings)
+        return clean.route_filter(self.flights, self.settings)
 
+    @cached_property
     def emissions(self) -> DataFrame:
-        return emissions.flight_emissions(self.route_flights(), self.tables, self.settings)
+        return emissions.flight_emissions(self.route_flights, self.tables, self.settings)
 
+    @cached_property
     def passengers(self) -> DataFrame:
-        return totals.passengers_per_flight(self.route_flights(), self.settings)
+        return totals.passengers_per_flight(self.route_flights, self.settings)
+
+    @cached_property
+    def located(self) -> DataFrame:
+        """Flights with emissions, coordinates, bearing and jitter."""
+        return self.locate(self.emissions)
 
-    def located(self, flights: DataFrame | None = None) -> DataFrame:
-        """Flights with coordinates, bearing and jitter; flights with emissions by default."""
-        flights = self.emissions() if flights is None else flights
+    def locate(self, flights: DataFrame) -> DataFrame:
         placed = geometry.airport_join(flights, self.tables.airports, self.settings)
         return geometry.jittered_endpoints(geometry.route_bearing(placed), self.settings)
 
+    @cached_property
     def minute_totals(self) -> DataFrame:
-        return totals.emissions_timeline(self.emissions(), self.passengers(), self.settings)
+        return totals.emissions_timeline(self.emissions, self.passengers, self.settings)
+
+    @cached_property
+    def sampled_totals(self) -> DataFrame:
+        return sampling.sampled_totals(self.minute_totals, self.settings)
+
+    @cached_property
+    def sampled_times(self) -> DataFrame:
+        """Times shown. They follow from the days that have flights; no masses are needed."""
+        days = panel.days_with_flights(self.route_flights, self.settings)
+        return sampling.sampled_times(panel.time_grid(days, self.settings), self.settings)
