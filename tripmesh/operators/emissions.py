@@ -187,15 +187,24 @@ def fill_with_mean(flights: DataFrame, settings: Settings) -> DataFrame:
     return joined.selectExpr(*[filled.get(c, c) for c in flights.columns])
 
 
-def flight_emissions(flights: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
-    """Route flights with complete ``*_lto`` and ``*_ccd`` masses."""
+def matched_flights(flights: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
+    """Flights with type, aircraft id and LTO masses: all the joins that may fan out."""
     typed = aircraft_type_join(flights, tables.register, settings)
     named = aircraft_id_join(typed, tables.curve, settings)
-    with_lto = lto_join(named, tables.curve, settings)
-    bracketed = ccd_bracket(with_lto, tables.curve, settings)
+    return lto_join(named, tables.curve, settings)
+
+
+def complete_emissions(matched: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
+    """Add interpolated CCD masses and fill the gaps; one row in, one row out."""
+    bracketed = ccd_bracket(matched, tables.curve, settings)
     return fill_with_mean(ccd_interpolate(bracketed), settings)
 
 
+def flight_emissions(flights: DataFrame, tables: Tables, settings: Settings) -> DataFrame:
+    """Route flights with complete ``*_lto`` and ``*_ccd`` masses."""
+    return complete_emissions(matched_flights(flights, tables, settings), tables, settings)
+
+
 def daily_totals(emissions: DataFrame) -> DataFrame:
     """LTO plus CCD per arrival day and departure date."""
     sums = [

@@ -113,6 +113,16 @@ def timeline(flights: DataFrame, settings: Settings) -> DataFrame:
     return placed.withColumn("t_local", local_wall(F.col("t_s"), settings.timezone))
 
 
+PATH_COLUMNS = (
+    "dep_lat",
+    "dep_lon",
+    "arr_lat",
+    "arr_lon",
+    "mid_lat_jitter",
+    "mid_lon_jitter",
+    "bearing",
+)
+
 POSITION_COLUMNS = (
     "day",
     "t_s",

@@ -14,6 +14,7 @@ from tripmesh.functions.time import grid_times
 from tripmesh.operators.geometry import project_positions
 from tripmesh.operators.lookup import attach, per_day
 from tripmesh.operators.panel import (
+    PATH_COLUMNS,
     POSITION_COLUMNS,
     at_times,
     expand_at,
@@ -29,41 +30,33 @@ def sampled_positions(flights: DataFrame, times: DataFrame, settings: Settings)
     return placed.select("icao24", "dep_s", *POSITION_COLUMNS)
 
 
-def airborne_positions(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
-    """Projected positions of planes in the air at the given times.
-
-    A flight is expanded over its own minutes in the air, not over the day.
-    """
+def airborne_minutes(flights: DataFrame, settings: Settings) -> DataFrame:
+    """Each flight at its own minutes in the air: a day's worth is never made."""
     step = settings.step_s
     first = F.ceil((F.col("dep_s") - F.col("start_s")) / step)
     last = F.floor((F.col("arr_s") - F.col("start_s")) / step)
     minutes = grid_times(F.col("start_s") + first * step, F.col("start_s") + last * step, step)
-    expanded = at_times(with_grid(flights, settings), F.when(first <= last, minutes))
-    wanted = per_day(times.select("day", "t_s"), settings, rows_per_day=_grid_rows(settings))
-    kept = attach(expanded, wanted, ["day", "t_s"], settings, how="left_semi")
-    placed = positions(flight_states(kept, settings))
-    return project_positions(placed).select("day", "t_s", "icao24", "dep_s", "x", "y", "bearing")
+    return at_times(with_grid(flights, settings), F.when(first <= last, minutes))
 
 
 def minute_snapshots(flights: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:
-    """Each plane in the air at each time of ``totals``, beside that time's totals.
+    """Each plane in the air at each time of ``totals``, projected, beside that time's totals.
 
-    A time without any plane keeps one row with a null plane. Those times are
-    known from the totals, so the planes need no outer join.
+    The inner join picks the wanted times before any position is computed. A time
+    without any plane keeps one row with a null plane. Those times are known from
+    the totals, so the planes need no outer join.
     """
-    planes = airborne_positions(flights, totals, settings)
-    side = per_day(totals, settings, rows_per_day=_grid_rows(settings))
-    busy = attach(planes, side, ["day", "t_s"], settings, how="inner")
+    plane = flights.select("day", "icao24", "dep_s", "arr_s", *PATH_COLUMNS)
+    grid_rows = 25 * 3600 // settings.step_s + 1  # of the longest day
+    side = per_day(totals, settings, rows_per_day=grid_rows)
+    busy = attach(airborne_minutes(plane, settings), side, ["day", "t_s"], settings, how="inner")
+    placed = project_positions(positions(flight_states(busy, settings)))
+    rows = placed.select("icao24", "dep_s", "x", "y", "bearing", *totals.columns)
     empty = totals.filter(F.col("planes_in_air") == 0)
-    return busy.unionByName(empty, allowMissingColumns=True)
+    return rows.unionByName(empty, allowMissingColumns=True)
 
 
 def peak_positions(flights: DataFrame, peaks: DataFrame, settings: Settings) -> DataFrame:
     """Projected positions of all flights of a day at its busiest time."""
     placed = sampled_positions(flights, peaks.select("day", "t_s"), settings)
     return project_positions(placed)
-
-
-def _grid_rows(settings: Settings) -> int:
-    """Rows in the grid of the longest day."""
-    return 25 * 3600 // settings.step_s + 1

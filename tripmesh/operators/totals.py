@@ -49,17 +49,20 @@ def _change_columns() -> list[str]:
     return [*suffixed("slope"), *suffixed("offset"), *_COUNTS]
 
 
-def _mass_changes(gridded: DataFrame, step: int) -> DataFrame:
-    """Changes of masses, arrivals and planes in the air, three rows per flight and fan-out copy.
-
-    A copy with either mass missing emits nothing, as its minute values would be null.
-    """
+def _known_masses() -> list[str]:
+    """The masses, zero for a copy with either one missing: its minute values would be null."""
     known = "{p}_ccd IS NOT NULL AND {p}_lto IS NOT NULL"
-    parts = []
-    for p in POLLUTANTS:
-        parts += [f"if({known.format(p=p)}, {p}_{part}, 0D) AS {p}_{part}" for part in ("ccd", "lto")]
+    return [
+        f"if({known.format(p=p)}, {p}_{part}, 0D) AS {p}_{part}"
+        for p in POLLUTANTS
+        for part in ("ccd", "lto")
+    ]
+
+
+def _mass_changes(gridded: DataFrame, step: int) -> DataFrame:
+    """Changes of masses, arrivals and planes in the air, three rows per flight and fan-out copy."""
     flight = gridded.selectExpr(
-        "day", "dep_s - start_s AS rel_dep", "arr_s - start_s AS rel_arr", *parts
+        "day", "dep_s - start_s AS rel_dep", "arr_s - start_s AS rel_arr", *_known_masses()
     ).selectExpr(
         "*",
         *[f"coalesce({p}_ccd / nullif(rel_arr - rel_dep, 0), 0D) AS {p}_slope" for p in POLLUTANTS],
@@ -163,14 +166,23 @@ def emissions_timeline(
 def emissions_timeline_exploded(
     emissions: DataFrame, passengers: DataFrame, settings: Settings
 ) -> DataFrame:
-    """The same totals by grouping the whole panel."""
-    panel = cumulative_emissions(flight_states(timeline_expand(emissions, settings), settings))
-    flight = F.when(F.col("has_departed"), F.struct("icao24", "dep_s", "arr_s"))
+    """The same totals by grouping the whole panel.
+
+    Fan-out copies are summed before the expansion, so counting flights needs no
+    distinct over the panel and all of it is combined inside the map tasks.
+    """
+    masses = suffixed("ccd") + suffixed("lto")
+    flights = (
+        emissions.selectExpr("day", "icao24", "dep_s", "arr_s", *_known_masses())
+        .groupBy("day", "icao24", "dep_s", "arr_s")
+        .agg(F.count("*").alias("copies"), *[F.expr(f"sum({m}) AS {m}") for m in masses])
+    )
+    panel = cumulative_emissions(flight_states(timeline_expand(flights, settings), settings))
     totals = panel.groupBy("day", "t_s").agg(
-        *[F.expr(f"coalesce(sum({p}), 0D) AS {p}") for p in POLLUTANTS],
-        F.count_distinct(flight).alias("num_flights"),
-        F.count_if("has_arrived").alias("arrived"),
-        F.count_if("in_air").alias("planes_in_air"),
+        *[F.expr(f"sum({p}) AS {p}") for p in POLLUTANTS],
+        F.count_if("has_departed").alias("num_flights"),
+        F.expr("sum(if(has_arrived, copies, 0L)) AS arrived"),
+        F.expr("sum(if(in_air, copies, 0L)) AS planes_in_air"),
     )
     return _with_passengers(totals, passengers, settings)
 

@@ -359,14 +359,14 @@ def cumulative_emissions(spark, sf_dir):
 @query
 def positions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    table = panel.position_table(panel.timeline(a.located, a.settings))
-    return shown(table, DEGREES)
+    states = panel.flight_states(panel.timeline_expand(a.planes, a.settings), a.settings)
+    return shown(panel.position_table(panel.positions(states)), DEGREES)
 
 
 @query
 def timeline(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    whole = panel.timeline(a.located, a.settings)
+    whole = panel.timeline(a.locate(a.emissions), a.settings)
     columns = ("icao24", "dep_s", "arr_s", "aircraft_id", "t_s", "t_local")
     return shown(
         whole.select(*columns, *STATES, "progress", *POLLUTANTS, "longitude", "latitude", "bearing"),
@@ -406,13 +406,13 @@ def sampled_times(spark, sf_dir):
 @query
 def sampled_positions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    return shown(snapshots.sampled_positions(a.located, a.sampled_times, a.settings), DEGREES)
+    return shown(snapshots.sampled_positions(a.planes, a.sampled_times, a.settings), DEGREES)
 
 
 @query
 def project_positions(spark, sf_dir):
     a = analysis(spark, sf_dir, one_day=True)
-    placed = snapshots.sampled_positions(a.located, a.sampled_times, a.settings)
+    placed = snapshots.sampled_positions(a.planes, a.sampled_times, a.settings)
     projected = geometry.project_positions(placed)
     return shown(projected.select("icao24", "dep_s", "t_s", "x", "y"), METRES)
 
@@ -454,7 +454,7 @@ def planes_in_air(spark, sf_dir):
 @query
 def peak_positions(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    placed = snapshots.peak_positions(a.located, sampling.peak_times(a.sampled_totals), a.settings)
+    placed = snapshots.peak_positions(a.planes, sampling.peak_times(a.sampled_totals), a.settings)
     columns = ("day", "t_s", "icao24", "dep_s", "in_air", "bearing", "x", "y")
     return shown(placed.select(*columns), DEGREES, x=METRES, y=METRES)
 
@@ -463,7 +463,7 @@ def peak_positions(spark, sf_dir):
 def minute_snapshots(spark, sf_dir):
     a = analysis(spark, sf_dir)
     priced = damages.damages(a.sampled_totals)
-    rows = snapshots.minute_snapshots(a.located, priced, a.settings)
+    rows = snapshots.minute_snapshots(a.planes, priced, a.settings)
     columns = ("day", "t_s", "icao24", "dep_s", "x", "y", "bearing", "num_flights")
     return shown(
         rows.select(*columns, "passengers_arrived", *PRICED.values(), "total_damage"),

@@ -55,20 +55,25 @@ class Analysis:
     def route_flights(self) -> DataFrame:
         return clean.route_filter(self.flights, self.settings)
 
+    @cached_property
+    def matched_flights(self) -> DataFrame:
+        return emissions.matched_flights(self.route_flights, self.tables, self.settings)
+
     @cached_property
     def emissions(self) -> DataFrame:
-        return emissions.flight_emissions(self.route_flights, self.tables, self.settings)
+        return emissions.complete_emissions(self.matched_flights, self.tables, self.settings)
 
     @cached_property
     def passengers(self) -> DataFrame:
         return totals.passengers_per_flight(self.route_flights, self.settings)
 
     @cached_property
-    def located(self) -> DataFrame:
-        """Flights with emissions, coordinates, bearing and jitter."""
-        return self.locate(self.emissions)
+    def planes(self) -> DataFrame:
+        """Flights, fanned out as in ``emissions``, with their paths: positions need no masses."""
+        return self.locate(self.matched_flights)
 
     def locate(self, flights: DataFrame) -> DataFrame:
+        """Add coordinates, bearing and jitter."""
         placed = geometry.airport_join(flights, self.tables.airports, self.settings)
         return geometry.jittered_endpoints(geometry.route_bearing(placed), self.settings)
 
