@@ -55,5 +55,7 @@ class Settings:
     broadcast_rows: int = 200_000
     # Buckets a shuffled lookup join spreads each key over.
     salts: int = 32
+    # Flights one task expands to a day of minutes each (here 72 million rows).
+    flights_per_task: int = 50_000
     # Proven upper bound on the number of arrival days, or None if not measured.
     day_bound: int | None = None

@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from tripmesh.config import PRICED
 
 # Exchange rates, price levels and damage costs behind the rates.
@@ -51,12 +49,17 @@ def damage_rates(scenario: str = "as_published") -> dict[str, float]:
 
 def rate_table(spark: SparkSession) -> DataFrame:
     """One row per scenario, one ``*_rate`` column per priced pollutant. Always three rows."""
+    return spark.sql(f"SELECT {_scenario_rows()}")
+
+
+def _scenario_rows() -> str:
+    """Generator of one row per scenario, from constants."""
     rows = []
     for scenario in SCENARIOS:
         rates = damage_rates(scenario)
-        rows.append(f"('{scenario}', {', '.join(f'{rates[p]!r}D' for p in PRICED)})")
+        rows.append(f"'{scenario}', " + ", ".join(f"{rates[p]!r}D" for p in PRICED))
     names = ", ".join(f"{p}_rate" for p in PRICED)
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS rates(scenario, {names})")
+    return f"stack({len(rows)}, {', '.join(rows)}) AS (scenario, {names})"
 
 
 def with_total(df: DataFrame) -> DataFrame:
@@ -73,8 +76,8 @@ def damages(totals: DataFrame, scenario: str = "as_published") -> DataFrame:
 
 
 def damages_by_scenario(totals: DataFrame) -> DataFrame:
-    """Every row under every scenario."""
-    priced = totals.crossJoin(F.broadcast(rate_table(totals.sparkSession)))
+    """Every row under each of the three scenarios."""
+    priced = totals.selectExpr("*", _scenario_rows())
     costs = [f"{mass} * {p}_rate AS {p}_damage" for p, mass in PRICED.items()]
     return with_total(priced.selectExpr("scenario", *totals.columns, *costs))
 

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmesh.config import POLLUTANTS, Settings
+from tripmesh.config import Settings
+
+
+def samples_per_day(settings: Settings) -> int:
+    """Most rows ``sampled_totals`` can leave of one day: the longest has 25 hours."""
+    return 25 * 3600 // settings.step_s // settings.stride + 2
 
 
 def sampled_totals(totals: DataFrame, settings: Settings) -> DataFrame:

@@ -22,6 +22,7 @@ from tripmesh.operators.panel import (
     positions,
     with_grid,
 )
+from tripmesh.operators.sampling import samples_per_day
 
 
 def sampled_positions(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
@@ -40,15 +41,14 @@ def airborne_minutes(flights: DataFrame, settings: Settings) -> DataFrame:
 
 
 def minute_snapshots(flights: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:
-    """Each plane in the air at each time of ``totals``, projected, beside that time's totals.
+    """Each plane in the air at each time of the sampled ``totals``, projected, beside its totals.
 
     The inner join picks the wanted times before any position is computed. A time
     without any plane keeps one row with a null plane. Those times are known from
     the totals, so the planes need no outer join.
     """
     plane = flights.select("day", "icao24", "dep_s", "arr_s", *PATH_COLUMNS)
-    grid_rows = 25 * 3600 // settings.step_s + 1  # of the longest day
-    side = per_day(totals, settings, rows_per_day=grid_rows)
+    side = per_day(totals, settings, rows_per_day=samples_per_day(settings))
     busy = attach(airborne_minutes(plane, settings), side, ["day", "t_s"], settings, how="inner")
     placed = project_positions(positions(flight_states(busy, settings)))
     rows = placed.select("icao24", "dep_s", "x", "y", "bearing", *totals.columns)

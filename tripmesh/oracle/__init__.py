@@ -288,6 +288,7 @@ SELECTS = {
             CAST(min(arr_local) AS VARCHAR) AS arr_min, CAST(max(arr_local) AS VARCHAR) AS arr_max,
             CAST(min(dep_local) AS VARCHAR) AS dep_min, CAST(max(dep_local) AS VARCHAR) AS dep_max
         FROM clean""",
+    "grid_extent": "SELECT CAST(day AS VARCHAR) AS day, min(t_s) AS start_s, max(t_s) AS end_s FROM totals GROUP BY day",
     "route_filter": f"SELECT {CLEAN_COLUMNS} FROM route",
     "route_list": "SELECT DISTINCT dep_airport, arr_airport FROM route",
     "first_departures": """

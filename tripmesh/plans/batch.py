@@ -42,8 +42,12 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     analysis = Analysis(raw, tables, settings, one_day=not all_days)
 
     write_sorted_parquet(
-        analysis.locate(analysis.emissions), f"{out}/flights", "icao24", "dep_s",
-        range_by=("day", "icao24", "dep_s"), partition_by=("day",),
+        analysis.locate(analysis.emissions),
+        f"{out}/flights",
+        "icao24",
+        "dep_s",
+        range_by=("day", "icao24", "dep_s"),
+        partition_by=("day",),
     )
     flights = read_results(spark, f"{out}/flights")
     analysis.passengers.write.parquet(f"{out}/passengers")
@@ -53,8 +57,10 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     write_sorted_parquet(minute, f"{out}/emissions", "day", "t_s")
     minute = read_results(spark, f"{out}/emissions")
 
-    # Ranges are made of flights, before each becomes a day of minutes.
-    ranged = flights.repartitionByRange("day", "icao24", "dep_s")
+    # Ranges are made of flights, before each becomes a day of minutes. Their number is set
+    # by the rows to come: by its own size one shuffle partition would hold a million flights.
+    tasks = flights.count() // settings.flights_per_task + 1
+    ranged = flights.repartitionByRange(tasks, "day", "icao24", "dep_s")
     states = panel.flight_states(panel.timeline_expand(ranged, settings), settings)
     placed = panel.positions(states).select("icao24", "dep_s", *panel.POSITION_COLUMNS)
     write_sorted_parquet(

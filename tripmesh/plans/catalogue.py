@@ -203,6 +203,11 @@ def time_extent(spark, sf_dir):
     return shown(coverage.time_extent(analysis(spark, sf_dir).flights))
 
 
+@query
+def grid_extent(spark, sf_dir):
+    return shown(coverage.grid_extent(analysis(spark, sf_dir).minute_totals))
+
+
 @query
 def route_filter(spark, sf_dir):
     return shown(analysis(spark, sf_dir).route_flights)

@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Size checks for joins without a hint, at plan time and again on measured
-# shuffle sizes, and splitting of hot partitions.
+# shuffle sizes, and splitting of hot partitions. Flights are small in a shuffle
+# but each may become a day of minutes, so their partitions are not merged down
+# to megabytes while cores stand idle.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
