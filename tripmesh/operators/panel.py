@@ -29,6 +29,18 @@ def with_grid(flights: DataFrame, settings: Settings) -> DataFrame:
     return flights.withColumns({"start_s": start, "end_s": end})
 
 
+def spread(flights: DataFrame, settings: Settings) -> DataFrame:
+    """Flights over ``panel_tasks`` partitions, before each becomes many rows.
+
+    Adaptive execution merges shuffle partitions by their own size, which says
+    nothing about the size after an expansion. A shuffle of flights costs little
+    beside that. The hash of the flight keeps a retried task on the same rows.
+    """
+    if settings.panel_tasks is None:
+        return flights
+    return flights.repartition(settings.panel_tasks, "icao24", "dep_s")
+
+
 def at_times(flights: DataFrame, times: Column) -> DataFrame:
     """One row per time for flights that depart inside their arrival day, none for the others.
 
@@ -50,7 +62,7 @@ def days_with_flights(flights: DataFrame, settings: Settings) -> DataFrame:
 def timeline_expand(flights: DataFrame, settings: Settings) -> DataFrame:
     """Each flight at each minute of its arrival day."""
     times = grid_times(F.col("start_s"), F.col("end_s"), settings.step_s)
-    return at_times(with_grid(flights, settings), times)
+    return at_times(with_grid(spread(flights, settings), settings), times)
 
 
 def expand_at(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
@@ -60,7 +72,7 @@ def expand_at(flights: DataFrame, times: DataFrame, settings: Settings) -> DataF
     minutes are ever made.
     """
     per = times.groupBy("day").agg(F.collect_list("t_s").alias("times"))
-    joined = attach(flights, per_day(per, settings), ["day"], settings, how="inner")
+    joined = attach(spread(flights, settings), per_day(per, settings), ["day"], settings, how="inner")
     return at_times(with_grid(joined, settings), F.col("times")).drop("times")
 
 

@@ -20,6 +20,7 @@ from tripmesh.operators.panel import (
     expand_at,
     flight_states,
     positions,
+    spread,
     with_grid,
 )
 from tripmesh.operators.sampling import samples_per_day
@@ -37,7 +38,7 @@ def airborne_minutes(flights: DataFrame, settings: Settings) -> DataFrame:
     first = F.ceil((F.col("dep_s") - F.col("start_s")) / step)
     last = F.floor((F.col("arr_s") - F.col("start_s")) / step)
     minutes = grid_times(F.col("start_s") + first * step, F.col("start_s") + last * step, step)
-    return at_times(with_grid(flights, settings), F.when(first <= last, minutes))
+    return at_times(with_grid(spread(flights, settings), settings), F.when(first <= last, minutes))
 
 
 def minute_snapshots(flights: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:

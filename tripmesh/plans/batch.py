@@ -61,7 +61,8 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     # by the rows to come: by its own size one shuffle partition would hold a million flights.
     tasks = flights.count() // settings.flights_per_task + 1
     ranged = flights.repartitionByRange(tasks, "day", "icao24", "dep_s")
-    states = panel.flight_states(panel.timeline_expand(ranged, settings), settings)
+    as_ranged = replace(settings, panel_tasks=None)
+    states = panel.flight_states(panel.timeline_expand(ranged, as_ranged), settings)
     placed = panel.positions(states).select("icao24", "dep_s", *panel.POSITION_COLUMNS)
     write_sorted_parquet(
         placed, f"{out}/planes", "icao24", "dep_s", "t_s", range_by=(), partition_by=("day",)
