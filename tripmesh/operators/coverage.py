@@ -35,11 +35,16 @@ def coverage_pivot(hourly: DataFrame, days: list[str] | None = None) -> DataFram
 def interior_dates(hourly: DataFrame) -> DataFrame:
     """Date and hour counts strictly between the first and the last date.
 
-    Filters the grouped counts, which are few, against their own extremes.
+    The window spans the grouped counts, 24 rows per calendar day. Comparing with
+    a subquery instead would push the comparison below the deduplication of the
+    flights and shuffle them a second time.
     """
-    lowest = hourly.agg(F.min("day")).scalar()
-    highest = hourly.agg(F.max("day")).scalar()
-    return hourly.filter((F.col("day") > lowest) & (F.col("day") < highest))
+    every = Window.partitionBy(F.lit(0))
+    return (
+        hourly.withColumns({"_first": F.min("day").over(every), "_last": F.max("day").over(every)})
+        .filter((F.col("day") > F.col("_first")) & (F.col("day") < F.col("_last")))
+        .drop("_first", "_last")
+    )
 
 
 def date_completeness(hourly: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ has emitted is piecewise linear in time, so the total of a day is described by
 the minutes where a flight starts, lands or leaves the air, and by how slope and
 offset change there. Each flight makes a few such changes, map tasks add them up
 per (day, minute), and a running sum over at most one grid of rows per day turns
-them into totals. Only the keys of the flights are shuffled, to count each once. ``emissions_timeline_exploded`` gets the same numbers from the
-panel and serves as a check.
+them into totals. Only the keys of the flights are shuffled, to count each once.
+``emissions_timeline_exploded`` gets the same numbers from the panel and serves
+as a check. Both expect that no flight lands before it departs.
 """
 
 from __future__ import annotations
