@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tripmesh.llm import op01_decontaminate
+from tripmesh.llm import op01_decontaminate, op10_pack
 
 QUERIES = {
     "op1_decontamination": op01_decontaminate.query,
+    "op10_packing": op10_pack.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
