@@ -51,3 +51,29 @@ def decontamination(docs, items, window=10):
         ids = sha(",".join(sorted(str(i) for i in found)))
         out.append((doc_id, len(w), len(hit), len(found), ids, bool(hit)))
     return out
+
+
+def shingles(text, size=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower_ascii(text or ""))
+    if len(w) < size:
+        return {tuple(w)} if w else set()
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+
+
+def near_duplicates(docs):
+    """docs: (id, text); repeated ids allowed."""
+    sets = [(i, shingles(t)) for i, t in docs]
+    root = {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            both = len(a & b)
+            if both and 100 * both >= 80 * (len(a) + len(b) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [(i, len(s), find(i), find(i) == i) for i, s in sets]
