@@ -77,3 +77,15 @@ def near_duplicates(docs):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return [(i, len(s), find(i), find(i) == i) for i, s in sets]
+
+
+def subsequence_kernel(s, t, order=3, decay=0.7):
+    """All common subsequences, by enumeration."""
+    from itertools import combinations
+
+    total = 0.0
+    for a in combinations(range(len(s)), order):
+        for b in combinations(range(len(t)), order):
+            if all(s[i] == t[j] for i, j in zip(a, b)):
+                total += decay ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
+    return total

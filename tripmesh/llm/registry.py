@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tripmesh.llm import op01_decontaminate, op07_near_dedup, op10_pack
+from tripmesh.llm import op01_decontaminate, op05_toxicity, op07_near_dedup, op10_pack
 
 QUERIES = {
     "op1_decontamination": op01_decontaminate.query,
+    "op5_toxicity": op05_toxicity.query,
     "op7_near_dedup": op07_near_dedup.query,
     "op10_packing": op10_pack.query,
 }
