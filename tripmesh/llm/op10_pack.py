@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from tripmesh.llm.common import ROW, read_table, saved, slices
 LENGTH = 4096
 END_ID = 1
 GROUP_ROWS = 30_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 
 # Separators that str.split knows and the tokenizer may not.
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
@@ -49,6 +50,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memo for all tasks of a worker process."""
+    return WordIds(path)
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit numbers."""
 
@@ -123,7 +130,7 @@ def tokenised(
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             row, texts = batch.columns
             for lo, hi in slices(texts):
