@@ -89,3 +89,21 @@ def subsequence_kernel(s, t, order=3, decay=0.7):
             if all(s[i] == t[j] for i, j in zip(a, b)):
                 total += decay ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
     return total
+
+
+def line_dedup(docs, size=3):
+    """docs: (id, text); equal (id, text) rows are one place."""
+    first, out = {}, []
+    rows = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        for k in range(len(lines) - size + 1):
+            first.setdefault(tuple(lines[k : k + size]), (i, k))
+    for i, text in rows:
+        lines, gone = ([] if text is None else text.split("\n")), set()
+        for k in range(len(lines) - size + 1):
+            if first[tuple(lines[k : k + size])] != (i, k):
+                gone.update(range(k, k + size))
+        spans = sum(k in gone and k - 1 not in gone for k in range(len(lines)))
+        out.append((i, len(lines), len(gone), spans, sha("\n".join(x for k, x in enumerate(lines) if k not in gone))))
+    return out
