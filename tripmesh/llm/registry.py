@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tripmesh.llm import op01_decontaminate, op04_line_dedup, op05_toxicity, op07_near_dedup, op10_pack
+from tripmesh.llm import (
+    op01_decontaminate,
+    op02_shards,
+    op04_line_dedup,
+    op05_toxicity,
+    op07_near_dedup,
+    op10_pack,
+)
 
 QUERIES = {
     "op1_decontamination": op01_decontaminate.query,
+    "op2_shards": op02_shards.query,
     "op4_line_dedup": op04_line_dedup.query,
     "op5_toxicity": op05_toxicity.query,
     "op7_near_dedup": op07_near_dedup.query,
