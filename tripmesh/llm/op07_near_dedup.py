@@ -15,9 +15,9 @@ pair at similarity 0.8 with a chance of 1 - 5e-8.
    the others are verified on their full sets of shingles.
 4. Verified links join classes to components.
 5. In buckets that still hold several components, members of different ones are
-   compared by their registers, in tiles of bounded size. Each member's likeliest
-   partners in every other component are verified first, then more of them, until
-   no pair that may reach the limit is left untested.
+   compared by their registers, large buckets in tiles of bounded size. Each
+   member's likeliest partners in every other component are verified, and more of
+   them in further rounds, until no pair that may reach the limit is untested.
 
 Defined cases: texts that are null or hold no word have no shingle and are alone
 in their component; with fewer words than a shingle the whole text is one.
@@ -46,7 +46,9 @@ BANDS = ROUNDS // ROWS * BUCKETS
 VALUE_BITS, MANTISSA = 40, 10
 DEVIATIONS = 6
 TILE = 2000
-FIRST_PARTNERS = 2
+SMALL, UNIT_ROWS = 64, 20_000
+FIRST_PARTNERS = 64
+NO_PAIRS = pd.DataFrame({"a": [], "b": [], "rank": []}, dtype="int64")
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = False
@@ -128,21 +130,29 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.abs(law(np.maximum(n, 1)) * law(np.maximum(m, 1))).sum(axis=0) / (1 << MANTISSA)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corrected Jaccard estimates of sketches (rows of registers), and filled registers they rest on."""
-    filled = ((a > 0) | (b > 0)).sum(axis=-1)
-    same = ((a == b) & (a > 0)).sum(axis=-1)
-    by_chance = chance(n, m)
-    return (same / np.maximum(filled, 1) - by_chance) / (1 - by_chance), filled
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of pairs of sketches (rows of registers), corrected for chance."""
+    raw, by_chance = agreement(a, b)[0], chance(n, m)
+    return (raw - by_chance) / (1 - by_chance)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of filled registers that agree, and how many are filled."""
+    filled = np.count_nonzero(a | b, axis=1)
+    same = np.count_nonzero((a == b) & (a > 0), axis=1)
+    return same / np.maximum(filled, 1), filled
 
 
 def promising(a, b, n, m, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a pair may reach the limit, and its estimate. Sizes alone rule some out."""
-    guess, filled = estimate(a, b, n, m)
+    """Whether pairs may reach the limit, and their estimates. Sizes alone rule some out."""
     limit = percent / 100
-    slack = DEVIATIONS * np.sqrt(limit * (1 - limit) / np.maximum(filled, 1))
-    sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return sizes & (guess >= limit - slack), guess
+    raw, filled = agreement(a, b)
+    least = limit - DEVIATIONS * np.sqrt(limit * (1 - limit) / np.maximum(filled, 1))
+    good = (raw >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    guess = np.zeros(len(raw))
+    by_chance = chance(n[good], m[good])
+    guess[good] = (raw[good] - by_chance) / (1 - by_chance)
+    return good & (guess >= least), guess
 
 
 def registers_of(keys: pd.Series) -> np.ndarray:
@@ -190,9 +200,10 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     while True:
         near = saved(rivals(members, classes, components(found), percent, partners), "rivals")
         more = saved(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty() and near.where(F.col("rank") >= partners).isEmpty():
+        if not more.isEmpty():
+            found = saved(found.union(verified(docs, more, size, percent)), "found")
+        if near.where(F.col("rank") >= partners).isEmpty():  # nothing was put off
             return found
-        found = saved(found.union(verified(docs, more, size, percent)), "found")
         tested = tested.union(more)
         partners *= 8
 
@@ -240,30 +251,55 @@ def rivals(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: in
     """For members of one bucket in different components: the likeliest pairs of each member and component."""
     rooted = members.drop("first").join(roots, F.col("rep") == F.col("node"), "left")
     rooted = rooted.select("band", "key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed_ = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed_ = mixed_.where("lo <> hi").select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rows = rooted.join(mixed_, ["band", "key"]).join(classes, "rep")
+    several = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    rows = rooted.join(several.where("lo <> hi").drop("lo", "hi"), ["band", "key"]).join(classes, "rep")
+    rows = rows.select("rep", "root", "n_shingles", "sketch", "n", F.xxhash64("band", "key").alias("bucket"))
+
+    def ranked(a, b, root, guess) -> pd.DataFrame:
+        pairs = pd.DataFrame({"a": a, "b": b, "root": root, "guess": guess}).sort_values(["guess", "b"], ascending=[False, True])
+        pairs["rank"] = pairs.drop_duplicates(["a", "b"]).groupby(["a", "root"]).cumcount() + 1
+        return pairs.loc[pairs["rank"] <= partners, ["a", "b", "rank"]].astype("int64")
+
+    def arrays(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        return p.root.to_numpy(), p.rep.to_numpy(), p.n_shingles.to_numpy(), registers_of(p.sketch)
+
+    def likely_pairs(p: tuple, q: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Those of the pairs (row i of p, row j of q) that may be similar; where p is q, in either order."""
+        (root_p, rep_p, n_p, sketch_p), (root_q, rep_q, n_q, sketch_q) = p, q
+        apart = root_p[i] != root_q[j]
+        i, j = i[apart], j[apart]
+        i, j = np.where(rep_p[i] < rep_q[j], i, j), np.where(rep_p[i] < rep_q[j], j, i)
+        good, guess = promising(sketch_p[i], sketch_q[j], n_p[i], n_q[j], percent)
+        return rep_p[i[good]], rep_q[j[good]], root_q[j[good]], guess[good]
+
+    def small_buckets(p: pd.DataFrame) -> pd.DataFrame:
+        """All pairs in each of many buckets of at most SMALL rows."""
+        p = p.sort_values("bucket")
+        bucket, own, found = p.bucket.to_numpy(), arrays(p), []
+        for step in range(1, SMALL):
+            i = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(i):
+                break
+            found.append(likely_pairs(own, own, i, i + step))
+        return ranked(*map(np.concatenate, zip(*found))) if found else NO_PAIRS
+
+    def tile(p: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one part of a large bucket with another."""
+        p, q = p[p.left], p[~p.left]
+        i, j = np.nonzero(p.rep.to_numpy()[:, None] < q.rep.to_numpy())
+        p, q = arrays(p), arrays(q)
+        found = [likely_pairs(p, q, i[lo : lo + 100_000], j[lo : lo + 100_000]) for lo in range(0, len(i), 100_000)]
+        return ranked(*map(np.concatenate, zip(*found))) if found else NO_PAIRS
+
+    units = members.count() // UNIT_ROWS + 1
+    unit = F.pmod(F.col("bucket"), F.lit(units)).alias("unit")
+    small = rows.where(F.col("n") <= SMALL).select("*", unit).groupBy("unit").applyInPandas(small_buckets, "a long, b long, rank long")
+    large = rows.where(F.col("n") > SMALL).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = rows.select("*", own.alias("i"), other.alias("j")).withColumn("left", F.lit(True))
-    right = rows.select("*", other.alias("i"), own.alias("j")).withColumn("left", F.lit(False))
-
-    def tile(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p, q = p[p.left], p[~p.left]
-        ra, rb = registers_of(p.sketch), registers_of(q.sketch)
-        root_q, rep_q, n_q = q.root.to_numpy(), q.rep.to_numpy(), q.n_shingles.to_numpy()
-        out = []
-        for k, (rep, root, n) in enumerate(zip(p.rep, p.root, p.n_shingles)):
-            far = np.flatnonzero((root_q != root) & (rep_q > rep))
-            good, guess = promising(ra[k], rb[far], np.full(len(far), n), n_q[far], percent)
-            far, guess = far[good], guess[good]
-            best = pd.DataFrame({"a": rep, "b": rep_q[far], "root": root_q[far], "guess": guess})
-            best = best.sort_values(["guess", "b"], ascending=[False, True])
-            best["rank"] = best.groupby("root").cumcount() + 1
-            out.append(best[best["rank"] <= partners])
-        return pd.concat(out)[["a", "b", "rank"]] if out else pd.DataFrame({"a": [], "b": [], "rank": []}, dtype="int64")
-
-    return left.union(right).groupBy("band", "key", "i", "j").applyInPandas(tile, "a long, b long, rank long")
+    left = large.select("*", own.alias("i"), other.alias("j")).withColumn("left", F.lit(True))
+    right = large.select("*", other.alias("i"), own.alias("j")).withColumn("left", F.lit(False))
+    return small.union(left.union(right).groupBy("bucket", "i", "j").applyInPandas(tile, "a long, b long, rank long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
