@@ -34,6 +34,11 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % modulus
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 # --- Arrow passes -------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmesh.llm.common import ROW, read_table, saved
+from tripmesh.llm.common import ROW, let, read_table, saved
 
 LINES = 3
 
@@ -36,7 +36,8 @@ def drop_repeated_lines(docs: DataFrame, lines: int = LINES, carry: list[str] |
     edges = F.zip_with(
         F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(n)), lambda a, b: F.struct((a + 2).alias("at"), (b - a - 1).alias("n"))
     )
-    kept = F.flatten(F.transform(F.filter(edges, lambda e: e["n"] > 0), lambda e: F.slice(every, e["at"], e["n"])))
+    parts = lambda lines: F.transform(F.filter(edges, lambda e: e["n"] > 0), lambda e: F.slice(lines, e["at"], e["n"]))
+    kept = F.flatten(let(every, parts))
     spans = F.size(F.filter(F.zip_with(gone, F.concat(F.array(F.lit(-1)), gone), lambda a, b: (a - b).alias("d")), lambda d: d > 1))
     first_line = F.when(F.get(gone, F.lit(0)) == 0, 1).otherwise(0)
     return joined.select(
