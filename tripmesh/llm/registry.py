@@ -7,6 +7,7 @@ from tripmesh.llm import (
     op02_shards,
     op04_line_dedup,
     op05_toxicity,
+    op06_licenses,
     op07_near_dedup,
     op10_pack,
 )
@@ -16,10 +17,12 @@ QUERIES = {
     "op2_shards": op02_shards.query,
     "op4_line_dedup": op04_line_dedup.query,
     "op5_toxicity": op05_toxicity.query,
+    "op6_licenses": op06_licenses.query,
     "op7_near_dedup": op07_near_dedup.query,
     "op10_packing": op10_pack.query,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": op04_line_dedup.SQL,
+    "op6_licenses": op06_licenses.SQL,
 }
