@@ -66,7 +66,7 @@ def hashes_of(text: Column) -> Column:
 
 
 def anchors(templates: dict[str, str]) -> list[tuple[str, ...]]:
-    """Word pairs such that every shingle of every template has one; words alone where there is no pair."""
+    """Word pairs such that every shingle of every template has one, of longer words if possible; words alone where there is no pair."""
     found: set[tuple[str, ...]] = set()
     for text in templates.values():
         words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
@@ -76,7 +76,7 @@ def anchors(templates: dict[str, str]) -> list[tuple[str, ...]]:
             for s in left:
                 for p in {tuple(s[k : k + 2]) for k in range(max(1, len(s) - 1))}:
                     held[p] = held.get(p, 0) + 1
-            best = max(held, key=lambda p: (held[p], len("".join(p)), p))
+            best = max(held, key=lambda p: (min(map(len, p)) > 3, held[p], len("".join(p)), p))
             found.add(best)
             left = [s for s in left if best not in {tuple(s[k : k + 2]) for k in range(max(1, len(s) - 1))}]
     return sorted(found)
@@ -91,8 +91,7 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 def band_hashes(shingles: Column) -> Column:
     """The array of shingles under each of the hash functions: an array of arrays."""
-    under = lambda k: F.transform(shingles, lambda h: F.xxhash64(F.lit(k), h))
-    return F.array(*[under(k) for k in range(BANDS)])
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.transform(shingles, lambda h: F.xxhash64(k, h)))
 
 
 def blocks(docs: DataFrame, templates: dict[str, str], longest: int) -> DataFrame:
@@ -109,21 +108,23 @@ def blocks(docs: DataFrame, templates: dict[str, str], longest: int) -> DataFram
     return some.select("doc_id", F.inline(let(hashes_of(F.col("text")), cut))).where(F.size("shingles") > 0)
 
 
-def window_minima(cut: DataFrame, size: int) -> DataFrame:
-    """(doc_id, block, size, at, window, minima) of the windows for templates of one size."""
+def window_minima(cut: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, block, size, at, window, minima) of the windows for templates of the given sizes."""
 
-    def windows(hashed: Column) -> Column:
+    def windows(hashed: Column, size: int) -> Column:
         last = F.floor((F.least(F.size("shingles"), F.lit(BLOCK)) - 1) / size).cast("int")
         return F.transform(
             F.sequence(F.lit(0), last),
             lambda k: F.struct(
+                F.lit(size).alias("size"),
                 (k * size).alias("at"),
                 F.slice("shingles", k * size + 1, 2 * size).alias("window"),
                 F.transform(hashed, lambda h: F.array_min(F.slice(h, k * size + 1, 2 * size))).alias("minima"),
             ),
         )
 
-    return cut.select("doc_id", "block", F.lit(size).alias("size"), F.inline(let(band_hashes(F.col("shingles")), windows)))
+    of_all_sizes = let(band_hashes(F.col("shingles")), lambda hashed: F.flatten(F.array(*[windows(hashed, n) for n in sizes])))
+    return cut.select("doc_id", "block", F.inline(of_all_sizes))
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -136,13 +137,9 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     )
     if len(templates) <= BROADCAST_TEMPLATES:
         bands = F.broadcast(bands)
-    cut = saved(blocks(docs, templates, max(sizes, default=1)), "blocks")
-    found = [window_minima(cut, n) for n in sizes]
-    if not found:
+    if not sizes:
         return spark.createDataFrame([], "doc_id long, license string, containment double, first_shingle long, n_windows long")
-    windows = found[0]
-    for more in found[1:]:
-        windows = windows.union(more)
+    windows = window_minima(saved(blocks(docs, templates, max(sizes)), "blocks"), sizes)
     exploded = windows.select("doc_id", "block", "size", "at", "window", F.posexplode("minima").alias("band", "least"))
     met = exploded.join(bands, ["size", "band", "least"])
     share = F.size(F.array_intersect("window", "shingles")) / F.col("size")
@@ -165,14 +162,14 @@ SQL = f"""
 WITH template AS (
   SELECT * FROM (VALUES {_LITERALS}) t(license, text)
 ), template_words AS (
-  SELECT license, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), w -> w <> '') AS words FROM template
+  SELECT license, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM template
 ), template_shingle AS (
   SELECT DISTINCT license, words[k:k + 4] AS s FROM (
     SELECT license, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS k FROM template_words)
 ), size AS (
   SELECT license, count(*) AS n FROM template_shingle GROUP BY license
 ), doc_words AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), w -> w <> '') AS words FROM documents
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents
 ), doc_shingle AS (
   SELECT doc_id, words[k + 1:k + 5] AS s, k AS pos FROM (
     SELECT doc_id, words, unnest(range(0, greatest(len(words) - 4, 1))) AS k FROM doc_words WHERE len(words) > 0)
