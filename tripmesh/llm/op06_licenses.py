@@ -76,7 +76,7 @@ def anchors(templates: dict[str, str]) -> list[tuple[str, ...]]:
             for s in left:
                 for p in {tuple(s[k : k + 2]) for k in range(max(1, len(s) - 1))}:
                     held[p] = held.get(p, 0) + 1
-            best = max(held, key=lambda p: (min(map(len, p)) > 3, held[p], len("".join(p)), p))
+            best = max(held, key=lambda p: (min(map(len, p)) > 3, max(map(len, p)) > 4, held[p], len("".join(p)), p))
             found.add(best)
             left = [s for s in left if best not in {tuple(s[k : k + 2]) for k in range(max(1, len(s) - 1))}]
     return sorted(found)
