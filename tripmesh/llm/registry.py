@@ -5,6 +5,7 @@ from __future__ import annotations
 from tripmesh.llm import (
     op01_decontaminate,
     op02_shards,
+    op03_language,
     op04_line_dedup,
     op05_toxicity,
     op06_licenses,
@@ -15,6 +16,7 @@ from tripmesh.llm import (
 QUERIES = {
     "op1_decontamination": op01_decontaminate.query,
     "op2_shards": op02_shards.query,
+    "op3_language": op03_language.query,
     "op4_line_dedup": op04_line_dedup.query,
     "op5_toxicity": op05_toxicity.query,
     "op6_licenses": op06_licenses.query,
