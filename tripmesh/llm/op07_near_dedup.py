@@ -15,9 +15,11 @@ pair at similarity 0.8 with a chance of 1 - 5e-8.
    the others are verified on their full sets of shingles.
 4. Verified links join classes to components.
 5. In buckets that still hold several components, members of different ones are
-   compared by their registers, large buckets in tiles of bounded size. Each
-   member's likeliest partners in every other component are verified, and more of
-   them in further rounds, until no pair that may reach the limit is untested.
+   compared by their registers, each pair in the first bucket that it shares.
+   Small buckets hand on the pairs that may reach the limit. Large ones are cut
+   into tiles of bounded size, where such pairs are tested on their sets of
+   shingle hashes at once, a member needing one link to each other component;
+   only links leave a tile, never the pairs of a group.
 
 Defined cases: texts that are null or hold no word have no shingle and are alone
 in their component; with fewer words than a shingle the whole text is one.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmesh.llm.common import LOWER, SpanHashes, annotate, mixed, plain, read_table, saved, text_bytes, word_bounds
+from tripmesh.llm.common import LOWER, SpanHashes, annotate, mixed, plain, read_table, saved, slices, text_bytes, word_bounds
 from tripmesh.llm.graph import components
 
 SHINGLE = 4
@@ -45,10 +47,9 @@ ROUNDS, BUCKETS, ROWS = 8, 16, 4
 BANDS = ROUNDS // ROWS * BUCKETS
 VALUE_BITS, MANTISSA = 40, 10
 DEVIATIONS = 6
-TILE = 2000
+TILE = 1000
 SMALL, UNIT_ROWS = 64, 20_000
-FIRST_PARTNERS = 64
-NO_PAIRS = pd.DataFrame({"a": [], "b": [], "rank": []}, dtype="int64")
+NO_PAIRS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = False
@@ -193,19 +194,16 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     """Verified links (a, b) that connect all similar classes."""
     members = classes.select("rep", F.posexplode("sketch").alias("band", "key")).where("key <> 0")
     shared = members.groupBy("band", "key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = saved(members.join(shared.drop("n"), ["band", "key"]), "members")
+    members = saved(members.join(shared, ["band", "key"]), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = saved(texts.join(wanted, "doc_id"), "texts")
     tested = saved(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "candidates")
-    found = saved(verified(docs, likely(tested, classes, percent), size, percent), "found")
-    partners = FIRST_PARTNERS
-    while True:
-        near = saved(rivals(members, classes, components(found), percent, partners), "rivals")
-        more = saved(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-        if not more.isEmpty():
-            found = saved(found.union(verified(docs, more, size, percent)), "found")
-        if near.where(F.col("rank") >= partners).isEmpty():  # nothing was put off
-            return found
-        tested = tested.union(more)
-        partners *= 8
+    found = saved(verified(texts, likely(tested, classes, percent), size, percent), "found")
+    rows = saved(rival_rows(members, classes, components(found)), "rivals")
+    more = small_rivals(rows, percent).union(large_rivals(rows, texts, size, percent)).distinct()
+    more = saved(more.join(tested, ["a", "b"], "left_anti"), "candidates")
+    return found.union(verified(texts, more, size, percent))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -221,12 +219,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets of shingles are similar enough."""
     pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = saved(texts.join(wanted, "doc_id"), "texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -247,59 +242,89 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def rivals(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, partners: int) -> DataFrame:
-    """For members of one bucket in different components: the likeliest pairs of each member and component."""
-    rooted = members.drop("first").join(roots, F.col("rep") == F.col("node"), "left")
-    rooted = rooted.select("band", "key", "rep", F.coalesce("root", "rep").alias("root"))
-    several = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    rows = rooted.join(several.where("lo <> hi").drop("lo", "hi"), ["band", "key"]).join(classes, "rep")
-    rows = rows.select("rep", "root", "n_shingles", "sketch", "n", F.xxhash64("band", "key").alias("bucket"))
-
-    def ranked(a, b, root, guess) -> pd.DataFrame:
-        pairs = pd.DataFrame({"a": a, "b": b, "root": root, "guess": guess}).sort_values(["guess", "b"], ascending=[False, True])
-        pairs["rank"] = pairs.drop_duplicates(["a", "b"]).groupby(["a", "root"]).cumcount() + 1
-        return pairs.loc[pairs["rank"] <= partners, ["a", "b", "rank"]].astype("int64")
-
-    def arrays(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        return p.root.to_numpy(), p.rep.to_numpy(), p.n_shingles.to_numpy(), registers_of(p.sketch)
-
-    def likely_pairs(p: tuple, q: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Those of the pairs (row i of p, row j of q) that may be similar; where p is q, in either order."""
-        (root_p, rep_p, n_p, sketch_p), (root_q, rep_q, n_q, sketch_q) = p, q
-        apart = root_p[i] != root_q[j]
-        i, j = i[apart], j[apart]
-        i, j = np.where(rep_p[i] < rep_q[j], i, j), np.where(rep_p[i] < rep_q[j], j, i)
-        good, guess = promising(sketch_p[i], sketch_q[j], n_p[i], n_q[j], percent)
-        return rep_p[i[good]], rep_q[j[good]], root_q[j[good]], guess[good]
-
-    def small_buckets(p: pd.DataFrame) -> pd.DataFrame:
-        """All pairs in each of many buckets of at most SMALL rows."""
+def rival_rows(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their sketches."""
+    rooted = members.select("band", "key", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left")
+    rooted = rooted.select("band", "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    several = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    rows = rooted.join(several.select("band", "key"), ["band", "key"]).join(classes, "rep")
+    return rows.select("rep", "root", "n_shingles", "sketch", "n", "band", F.xxhash64("band", "key").alias("bucket"))
+
+
+def rival_pairs(p: tuple, q: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Which pairs (row i of p, row j of q) may be similar, lie in different components and meet here first."""
+    (root_p, n_p, band, sketch_p), (root_q, n_q, _, sketch_q) = p, q
+    apart = (root_p[i] != root_q[j]) & (100 * np.minimum(n_p[i], n_q[j]) >= percent * np.maximum(n_p[i], n_q[j]))
+    i, j = i[apart], j[apart]
+    a, b = sketch_p[i], sketch_q[j]
+    here = ((a == b) & (a != 0)).argmax(axis=1) == band[i]
+    i, j, a, b = i[here], j[here], a[here], b[here]
+    good, guess = promising(a.view("<u2"), b.view("<u2"), n_p[i], n_q[j], percent)
+    return i[good], j[good], guess[good]
+
+
+def rival_arrays(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    keys = np.stack(p.sketch.to_numpy()).astype("<i8") if len(p) else np.zeros((0, BANDS), "<i8")
+    return p.root.to_numpy(), p.n_shingles.to_numpy(), p.band.to_numpy(), keys
+
+
+def small_rivals(rows: DataFrame, percent: int) -> DataFrame:
+    """Promising pairs of buckets of at most SMALL members, many buckets to a call."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("bucket")
-        bucket, own, found = p.bucket.to_numpy(), arrays(p), []
+        bucket, rep, own, found = p.bucket.to_numpy(), p.rep.to_numpy(), rival_arrays(p), []
         for step in range(1, SMALL):
             i = np.flatnonzero(bucket[step:] == bucket[:-step])
             if not len(i):
                 break
-            found.append(likely_pairs(own, own, i, i + step))
-        return ranked(*map(np.concatenate, zip(*found))) if found else NO_PAIRS
+            i, j, _ = rival_pairs(own, own, i, i + step, percent)
+            found.append(pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}))
+        return pd.concat(found) if found else NO_PAIRS
+
+    units = rows.count() // UNIT_ROWS + 1
+    few = rows.where(F.col("n") <= SMALL).withColumn("unit", F.pmod(F.col("bucket"), F.lit(units)))
+    return few.groupBy("unit").applyInPandas(run, "a long, b long")
+
+
+def large_rivals(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of larger buckets: for each member and other component one pair that is similar, if there is any."""
+    many = rows.where(F.col("n") > SMALL)
+    sets = texts.join(many.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column("text")):
+                row, h = shingle_hashes(batch.column("text").slice(lo, hi - lo), size)
+                cuts = np.searchsorted(row, np.arange(hi - lo + 1))
+                data = [h[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(data, pa.binary())], names=["rep", "hashes"])
+
+    sets = saved(sets.mapInArrow(hashed, "rep long, hashes binary"), "sets")
 
     def tile(p: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one part of a large bucket with another."""
         p, q = p[p.left], p[~p.left]
-        i, j = np.nonzero(p.rep.to_numpy()[:, None] < q.rep.to_numpy())
-        p, q = arrays(p), arrays(q)
-        found = [likely_pairs(p, q, i[lo : lo + 100_000], j[lo : lo + 100_000]) for lo in range(0, len(i), 100_000)]
-        return ranked(*map(np.concatenate, zip(*found))) if found else NO_PAIRS
-
-    units = members.count() // UNIT_ROWS + 1
-    unit = F.pmod(F.col("bucket"), F.lit(units)).alias("unit")
-    small = rows.where(F.col("n") <= SMALL).select("*", unit).groupBy("unit").applyInPandas(small_buckets, "a long, b long, rank long")
-    large = rows.where(F.col("n") > SMALL).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = large.select("*", own.alias("i"), other.alias("j")).withColumn("left", F.lit(True))
-    right = large.select("*", other.alias("i"), own.alias("j")).withColumn("left", F.lit(False))
-    return small.union(left.union(right).groupBy("bucket", "i", "j").applyInPandas(tile, "a long, b long, rank long"))
+        rep_p, rep_q, root_q = p.rep.to_numpy(), q.rep.to_numpy(), q.root.to_numpy()
+        set_p, set_q = ([np.frombuffer(x, np.uint64) for x in side.hashes] for side in (p, q))
+        own, other = rival_arrays(p), rival_arrays(q)
+        i, j = np.nonzero(rep_p[:, None] < rep_q)
+        done, found = set(), []
+        for lo in range(0, len(i), 100_000):
+            for a, b, _ in sorted(zip(*rival_pairs(own, other, i[lo : lo + 100_000], j[lo : lo + 100_000], percent)), key=lambda x: -x[2]):
+                if (a, root_q[b]) in done:
+                    continue
+                both = np.count_nonzero(np.isin(set_p[a], set_q[b], assume_unique=True))
+                if 100 * both >= percent * (len(set_p[a]) + len(set_q[b]) - both):
+                    done.add((a, root_q[b]))
+                    found.append((rep_p[a], rep_q[b]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    many = many.join(sets, "rep").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    part = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = many.select("*", part.alias("i"), each.alias("j")).withColumn("left", F.lit(True))
+    right = many.select("*", each.alias("i"), part.alias("j")).withColumn("left", F.lit(False))
+    return left.union(right).groupBy("bucket", "i", "j").applyInPandas(tile, "a long, b long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
