@@ -107,3 +107,22 @@ def line_dedup(docs, size=3):
         spans = sum(k in gone and k - 1 not in gone for k in range(len(lines)))
         out.append((i, len(lines), len(gone), spans, sha("\n".join(x for k, x in enumerate(lines) if k not in gone))))
     return out
+
+
+def repeats(docs, length=100):
+    """docs: (id, text) with ids that differ, or equal rows."""
+    first, out = {}, []
+    rows = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    for i, text in rows:
+        data = (text or "").encode()
+        for k in range(len(data) - length + 1):
+            first.setdefault(data[k : k + length], (i, k))
+    for i, text in rows:
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        for k in range(len(data) - length + 1):
+            if first[data[k : k + length]] != (i, k):
+                gone[k : k + length] = [True] * length
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(data), sum(gone), spans, sha(bytes(c for c, g in zip(data, gone) if not g))))
+    return out

@@ -10,6 +10,7 @@ from tripmesh.llm import (
     op05_toxicity,
     op06_licenses,
     op07_near_dedup,
+    op08_repeats,
     op09_fingerprint,
     op10_pack,
 )
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_toxicity": op05_toxicity.query,
     "op6_licenses": op06_licenses.query,
     "op7_near_dedup": op07_near_dedup.query,
+    "op8_repeats": op08_repeats.query,
     "op9_fingerprints": op09_fingerprint.query,
     "op10_packing": op10_pack.query,
 }
