@@ -10,9 +10,10 @@ numbers. Longer pieces come first: all are known beforehand, and then the rule
 leaves hardly more than one unfilled sequence in a group.
 
 Ids of words come from a memo of white-space separated chunks of bounded size;
-chunks that it lacks are encoded together. The chunk is a safe unit, as the
-tokenizer normalises and splits within white space only; texts with separators
-that not all libraries count as white space are encoded whole.
+words that it lacks are encoded together and told apart by their last tokens. The
+chunk is a safe unit, as the tokenizer normalises and splits within white space
+only; texts with separators that not all libraries count as white space are
+encoded whole.
 
 Defined cases: null text is empty, and an empty text is one piece, the end id
 alone; repeated rows are packed once each; null ids are kept; an empty table
@@ -41,7 +42,8 @@ MEMO_WORDS = 600_000
 
 # Separators that str.split knows and the tokenizer may not.
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
-_MARK = "\x01"
+# Words of letters before this one are one word to the tokenizer, whatever follows them.
+_LATIN = "\u0250"
 
 
 def default_tokenizer() -> str:
@@ -64,8 +66,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.memo = limit, {}
-        mark = self._ids(_MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -95,16 +98,23 @@ class WordIds:
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        plain = [c for c in chunks if self.mark is not None and _MARK not in c]
-        out = {c: self._ids(c).tobytes() for c in chunks if self.mark is None or _MARK in c}
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            ids = self._ids(f" {_MARK} ".join(part))
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, begin = ids.tobytes(), 0
-            for c, end in zip(part, ends, strict=True):
-                out[c] = raw[4 * begin : 4 * end]
-                begin = end + 1
+        """Ids of chunks. Those of a Latin word, with a stop or comma or without, share the ids of the word."""
+        parts = {c: (c, "") if c.isalpha() else (c[:-1], c[-1]) for c in chunks if max(c) < _LATIN and (c.isalpha() or (c[:-1].isalpha() and c[-1] in ".,"))}
+        words = list({w for w, _ in parts.values() if w not in self.memo})
+        ids_of = {}
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                ids_of.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:]))
+            else:  # lower case made more than a word of one
+                ids_of.update((w, self._ids(w).tobytes()) for w in part)
+        tails = {t: self._ids(t).tobytes() if t else b"" for t in ("", ".", ",")}
+        out = {c: self._ids(c).tobytes() for c in chunks if c not in parts}
+        for c, (word, tail) in parts.items():
+            out[c] = (ids_of[word] if word in ids_of else self.memo[word]) + tails[tail]
         return out
 
 
