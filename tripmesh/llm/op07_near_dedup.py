@@ -47,8 +47,8 @@ ROUNDS, BUCKETS, ROWS = 8, 16, 4
 BANDS = ROUNDS // ROWS * BUCKETS
 VALUE_BITS, MANTISSA = 40, 10
 DEVIATIONS = 6
-TILE = 1000
-SMALL, UNIT_ROWS = 64, 20_000
+TILE = 500
+SMALL, UNIT_ROWS = 64, 10_000
 NO_PAIRS = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 IS_WORD = np.ones(256, bool)
