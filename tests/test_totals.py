@@ -86,7 +86,7 @@ def test_peak_is_the_earliest_of_the_busiest(spark):
 
 def test_snapshots_keep_quiet_minutes(spark, small):
     a = analysis(spark, small)
-    shown = snapshots.minute_snapshots(a.planes, a.sampled_totals, a.settings)
+    shown = snapshots.minute_snapshots(a.planes, a.sampled_totals, a.sampled_times, a.settings)
     per_time = shown.groupBy("day", "t_s").agg(F.count("icao24").alias("n"), F.max("planes_in_air").alias("m"))
     assert per_time.count() == a.sampled_totals.count()
     assert per_time.filter("n <> m").count() == 0
@@ -103,3 +103,45 @@ def test_damages(spark):
     assert by["as_published"].total_damage == pytest.approx(expected)
     assert by["official_price"].co2_damage == pytest.approx(0.16)
     assert by["pm_corrected"].pm_damage == pytest.approx(279.84970715452)
+
+
+def test_pivot_takes_the_dates_of_the_data(spark):
+    from tripmesh.operators import coverage
+
+    cells = [(f"2023-{m:02d}-{d:02d}", h, m + d + h) for m in (5, 11) for d in (3, 28) for h in (9, 12)]
+    hourly = spark.createDataFrame(cells, "day string, hour int, flights long")
+    wide = coverage.coverage_pivot(hourly).collect()
+    assert sum(v for r in wide for k, v in r.asDict().items() if k != "hour") == sum(c[2] for c in cells)
+    assert len(wide[0]) == 5
+
+
+def test_tasks_of_an_expansion_are_bounded_by_the_cluster():
+    from tripmesh.config import Settings
+    from tripmesh.plans.compose import panel_tasks
+
+    assert panel_tasks(10**12, 4000, Settings()) == 4000 * 32
+    assert panel_tasks(10, 8, Settings()) == 8
+
+
+def test_unknown_airport_is_in_neither_totals_nor_snapshots(spark, small):
+    from dataclasses import replace
+
+    from tripmesh.operators import snapshots
+    from tripmesh.plans.catalogue import analysis
+    from tripmesh.plans.compose import Analysis
+
+    a = analysis(spark, small)
+    settings = replace(a.settings, airports=(*a.settings.airports, "YBBN"))
+    b = Analysis(a.raw, a.tables, settings)
+    totals = b.sampled_totals.cache()
+    shots = snapshots.minute_snapshots(b.planes, totals, b.sampled_times, settings).cache()
+    assert shots.select("day", "t_s").distinct().count() == totals.count()
+    planes = totals.agg({"planes_in_air": "sum"}).first()[0]
+    assert shots.where("icao24 IS NOT NULL").count() == planes > 0
+
+
+def test_peaks_do_not_shuffle_flights_again(spark, small):
+    from tripmesh.plans.catalogue import QUERIES
+
+    plan = QUERIES["peak_positions"](spark, small)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" not in plan

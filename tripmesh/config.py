@@ -57,6 +57,8 @@ class Settings:
     salts: int = 32
     # Flights one task expands to a day of minutes each (here 72 million rows).
     flights_per_task: int = 50_000
+    # Most tasks of an expansion for each core of the cluster.
+    tasks_per_core: int = 32
     # Tasks that expand flights to minutes, or None to keep the partitions as they come.
     panel_tasks: int | None = None
     # Proven upper bound on the number of arrival days, or None if not measured.

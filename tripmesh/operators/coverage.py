@@ -24,10 +24,9 @@ def hourly_coverage(flights: DataFrame, settings: Settings) -> DataFrame:
 
 
 def coverage_pivot(hourly: DataFrame, days: list[str] | None = None) -> DataFrame:
-    """One row per hour, one column per date.
+    """One row per hour, one column per date: each date of the data, or those named.
 
-    Naming the dates saves the job that looks them up; a date left out is an
-    absent column, not a changed cell.
+    The dates are looked up in the grouped counts, 24 rows per calendar day.
     """
     return hourly.groupBy("hour").pivot("day", days).agg(F.first("flights"))
 

@@ -38,7 +38,8 @@ def spread(flights: DataFrame, settings: Settings) -> DataFrame:
     """
     if settings.panel_tasks is None:
         return flights
-    return flights.repartition(settings.panel_tasks, "icao24", "dep_s")
+    key = [c for c in ("icao24", "dep_s", "arr_s", "dep_airport", "arr_airport") if c in flights.columns]
+    return flights.repartition(settings.panel_tasks, *key)
 
 
 def at_times(flights: DataFrame, times: Column) -> DataFrame:
@@ -65,15 +66,21 @@ def timeline_expand(flights: DataFrame, settings: Settings) -> DataFrame:
     return at_times(with_grid(spread(flights, settings), settings), times)
 
 
-def expand_at(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
-    """Each flight at the given times (``day``, ``t_s``) of its arrival day.
+def expand_at(
+    flights: DataFrame, times: DataFrame, settings: Settings, airborne: bool = False, few: bool = False
+) -> DataFrame:
+    """Each flight at the given times (``day``, ``t_s``) of its arrival day, or at those while in the air.
 
     The times of a day become one array, at most a grid long, so only wanted
-    minutes are ever made.
+    minutes are ever made. With ``few`` times a day the flights stay where they are.
     """
     per = times.groupBy("day").agg(F.collect_list("t_s").alias("times"))
-    joined = attach(spread(flights, settings), per_day(per, settings), ["day"], settings, how="inner")
-    return at_times(with_grid(joined, settings), F.col("times")).drop("times")
+    spread_ = flights if few else spread(flights, settings)
+    joined = attach(spread_, per_day(per, settings), ["day"], settings, how="inner")
+    wanted = F.col("times")
+    if airborne:
+        wanted = F.filter("times", lambda t: t.between(F.col("dep_s"), F.col("arr_s")))
+    return at_times(with_grid(joined, settings), wanted).drop("times")
 
 
 def flight_states(panel: DataFrame, settings: Settings) -> DataFrame:

@@ -10,54 +10,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmesh.config import Settings
-from tripmesh.functions.time import grid_times
 from tripmesh.operators.geometry import project_positions
 from tripmesh.operators.lookup import attach, per_day
 from tripmesh.operators.panel import (
     PATH_COLUMNS,
     POSITION_COLUMNS,
-    at_times,
     expand_at,
     flight_states,
     positions,
-    spread,
-    with_grid,
 )
 from tripmesh.operators.sampling import samples_per_day
 
 
-def sampled_positions(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
+def sampled_positions(flights: DataFrame, times: DataFrame, settings: Settings, few: bool = False) -> DataFrame:
     """Positions and flags of all flights at the given times only."""
-    placed = positions(flight_states(expand_at(flights, times, settings), settings))
+    placed = positions(flight_states(expand_at(flights, times, settings, few=few), settings))
     return placed.select("icao24", "dep_s", *POSITION_COLUMNS)
 
 
-def airborne_minutes(flights: DataFrame, settings: Settings) -> DataFrame:
-    """Each flight at its own minutes in the air: a day's worth is never made."""
-    step = settings.step_s
-    first = F.ceil((F.col("dep_s") - F.col("start_s")) / step)
-    last = F.floor((F.col("arr_s") - F.col("start_s")) / step)
-    minutes = grid_times(F.col("start_s") + first * step, F.col("start_s") + last * step, step)
-    return at_times(with_grid(spread(flights, settings), settings), F.when(first <= last, minutes))
-
-
-def minute_snapshots(flights: DataFrame, totals: DataFrame, settings: Settings) -> DataFrame:
+def minute_snapshots(flights: DataFrame, totals: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
     """Each plane in the air at each time of the sampled ``totals``, projected, beside its totals.
 
-    The inner join picks the wanted times before any position is computed. A time
-    without any plane keeps one row with a null plane. Those times are known from
-    the totals, so the planes need no outer join.
+    ``times`` (``day``, ``t_s``) are the times of ``totals``, of which a flight is
+    only put at those while it is in the air. A time without any plane keeps one
+    row with a null plane. Both frames hold flights of known airports only, so
+    those times are known from the totals, and the planes need no outer join.
     """
-    plane = flights.select("day", "icao24", "dep_s", "arr_s", *PATH_COLUMNS)
+    plane = flights.select("day", "icao24", "dep_s", "arr_s", "dep_airport", "arr_airport", *PATH_COLUMNS)
     side = per_day(totals, settings, rows_per_day=samples_per_day(settings))
-    busy = attach(airborne_minutes(plane, settings), side, ["day", "t_s"], settings, how="inner")
+    busy = expand_at(plane, times, settings, airborne=True)
     placed = project_positions(positions(flight_states(busy, settings)))
-    rows = placed.select("icao24", "dep_s", "x", "y", "bearing", *totals.columns)
+    joined = attach(placed, side, ["day", "t_s"], settings, how="inner")
+    rows = joined.select("icao24", "dep_s", "x", "y", "bearing", *totals.columns)
     empty = totals.filter(F.col("planes_in_air") == 0)
     return rows.unionByName(empty, allowMissingColumns=True)
 
 
 def peak_positions(flights: DataFrame, peaks: DataFrame, settings: Settings) -> DataFrame:
     """Projected positions of all flights of a day at its busiest time."""
-    placed = sampled_positions(flights, peaks.select("day", "t_s"), settings)
+    placed = sampled_positions(flights, peaks.select("day", "t_s"), settings, few=True)
     return project_positions(placed)

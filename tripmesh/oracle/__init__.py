@@ -273,11 +273,8 @@ SELECTS = {
         GROUP BY window_start, dep_airport""",
     "flights_clean": f"SELECT {CLEAN_COLUMNS} FROM clean",
     "hourly_coverage": f"SELECT {DAY}, CAST(hour AS INT) AS hour, flights FROM midday",
-    "coverage_pivot": "SELECT CAST(hour AS INT) AS hour, "
-    + ", ".join(
-        f"max(flights) FILTER (WHERE day = DATE '2024-01-{d:02d}') AS \"2024-01-{d:02d}\"" for d in range(1, 32)
-    )
-    + " FROM midday GROUP BY hour",
+    "coverage_pivot": f"""
+        PIVOT (SELECT {DAY}, CAST(hour AS INT) AS hour, flights FROM midday) ON day USING max(flights) GROUP BY hour""",
     "interior_dates": f"SELECT {DAY}, CAST(hour AS INT) AS hour, flights FROM interior",
     "date_completeness": "SELECT CAST(day AS VARCHAR) AS day, bool_and(flights IS NOT NULL) AS complete"
     " FROM interior GROUP BY day",
@@ -327,16 +324,16 @@ SELECTS = {
             {masses(('dep_lat', 'dep_lon', 'arr_lat', 'arr_lon', 'mid_lat_jitter', 'mid_lon_jitter'), 6)}
         FROM moved""",
     "time_grid": f"SELECT {DAY}, t_s, CAST({local('t_s')} AS VARCHAR) AS t_local FROM grid",
-    "timeline_expand": f"SELECT icao24, dep_s, arr_s, aircraft_id, t_s FROM emitted_states {ON_CHOSEN}",
-    "flight_states": f"""
+    "timeline_expand_on_date": f"SELECT icao24, dep_s, arr_s, aircraft_id, t_s FROM emitted_states {ON_CHOSEN}",
+    "flight_states_on_date": f"""
         SELECT icao24, dep_s, arr_s, t_s, {FLAGS}, {rounded('progress', 'progress', 6)}
         FROM route_states {ON_CHOSEN}""",
-    "cumulative_emissions": f"SELECT icao24, dep_s, arr_s, t_s, {masses()} FROM cumulative {ON_CHOSEN}",
-    "positions": f"""
+    "cumulative_emissions_on_date": f"SELECT icao24, dep_s, arr_s, t_s, {masses()} FROM cumulative {ON_CHOSEN}",
+    "positions_on_date": f"""
         SELECT {DAY}, t_s, {masses(('latitude', 'longitude', 'bearing'), DEGREES)}, in_air, taxiing_arrival,
             taxiing_departure
         FROM located_states {ON_CHOSEN}""",
-    "timeline": f"""
+    "timeline_on_date": f"""
         SELECT e.icao24, e.dep_s, e.arr_s, aircraft_id, e.t_s, CAST({local('e.t_s')} AS VARCHAR) AS t_local,
             {', '.join('e.' + f for f in FLAGS.split(', '))}, {rounded('e.progress', 'progress', 6)},
             {', '.join(rounded(f'e.progress * {p}_ccd + e.has_departed::INT * {p}_lto', p) for p in POLLUTANTS)},
@@ -354,11 +351,11 @@ SELECTS = {
     "emissions_timeline_exploded": f"SELECT {TOTALS_COLUMNS} FROM totals",
     "sink_parquet_roundtrip": f"SELECT {TOTALS_COLUMNS} FROM totals",
     "sampled_times": f"SELECT {DAY}, t_s, CAST({local('t_s')} AS VARCHAR) AS t_local FROM times",
-    "sampled_positions": f"""
+    "sampled_positions_on_date": f"""
         SELECT icao24, dep_s, {DAY}, t_s, {masses(('latitude', 'longitude', 'bearing'), DEGREES)}, in_air,
             taxiing_arrival, taxiing_departure
         FROM located_states SEMI JOIN times USING (day, t_s) {ON_CHOSEN}""",
-    "project_positions": f"""
+    "project_positions_on_date": f"""
         SELECT icao24, dep_s, t_s, {rounded(X, 'x', METRES)}, {rounded(Y, 'y', METRES)}
         FROM located_states SEMI JOIN times USING (day, t_s) {ON_CHOSEN}""",
     "damages": f"SELECT {DAY}, t_s, {masses(DAMAGES, MONEY)} FROM priced",
@@ -388,6 +385,44 @@ SELECTS = {
 }
 
 
+def summed(rows: str, keys: str, flags: str = "", sums=(), digits: int = MASS) -> str:
+    """A panel per key: rows, first and last time, rows with each flag, sums."""
+    shown_keys = keys.replace("day", DAY, 1)
+    parts = [shown_keys, "count(*) AS n, min(t_s) AS first_s, max(t_s) AS last_s"]
+    parts += [f"count(*) FILTER (WHERE {f}) AS {f}" for f in flags.split(", ") if f]
+    parts += [rounded(f"sum({c})", c, digits) for c in sums]
+    return f"SELECT {', '.join(parts)} FROM ({rows}) GROUP BY {keys}"
+
+
+COPY = "day, icao24, dep_s, arr_s, aircraft_id"
+SEEN = "in_air, taxiing_departure, taxiing_arrival"
+PLACE = ("latitude", "longitude", "bearing")
+SAMPLED = "SELECT * FROM located_states SEMI JOIN times USING (day, t_s)"
+SELECTS |= {
+    "timeline_expand": summed("SELECT * FROM emitted_states", COPY),
+    "flight_states": summed("SELECT * FROM route_states", "day, icao24, dep_s, arr_s", FLAGS, ["progress"]),
+    "cumulative_emissions": summed("SELECT * FROM cumulative", COPY, sums=POLLUTANTS),
+    "positions": summed("SELECT * FROM located_states", "day, t_s", SEEN, PLACE),
+    "timeline": summed(
+        f"""
+        SELECT e.day, e.icao24, e.dep_s, e.arr_s, aircraft_id, e.t_s, e.progress, bearing,
+            {', '.join('e.' + f for f in FLAGS.split(', '))},
+            {', '.join(f'e.progress * {p}_ccd + e.has_departed::INT * {p}_lto AS {p}' for p in POLLUTANTS)},
+            dep_lon + e.progress * (arr_lon - dep_lon) + mid_lat_jitter * e.progress * (1 - e.progress) AS longitude,
+            dep_lat + e.progress * (arr_lat - dep_lat) + mid_lon_jitter * e.progress * (1 - e.progress) AS latitude
+        FROM emitted_states e JOIN moved m ON m.day = e.day AND m.icao24 = e.icao24 AND m.dep_s = e.dep_s
+            AND m.arr_s = e.arr_s AND m.dep_airport = e.dep_airport AND m.arr_airport = e.arr_airport""",
+        COPY,
+        FLAGS,
+        ("progress", *POLLUTANTS, "longitude", "latitude", "bearing"),
+    ),
+    "sampled_positions": summed(SAMPLED, "day, icao24, dep_s", SEEN, PLACE),
+    "project_positions": summed(
+        f"SELECT day, icao24, dep_s, t_s, {X} AS x, {Y} AS y FROM ({SAMPLED})", "day, icao24, dep_s", sums=("x", "y"), digits=0
+    ),
+}
+
+
 @cache
 def _needed(sql: str) -> set[str]:
     names = set(re.findall(r"\b\w+\b", sql)) & TABLES.keys()

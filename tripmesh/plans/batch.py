@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tripmesh.config import Settings
 from tripmesh.operators import damages, panel, sampling, snapshots, totals
 from tripmesh.operators.emissions import Tables
-from tripmesh.plans.compose import Analysis, measured_settings, measured_tables
+from tripmesh.plans.compose import Analysis, measured_settings, measured_tables, panel_tasks
 from tripmesh.session import build
 from tripmesh.sinks import write_json, write_sorted_parquet
 from tripmesh.sources import read_aircraft_map, read_airports, read_curve, read_flights, read_results
@@ -42,7 +42,7 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     analysis = Analysis(raw, tables, settings, one_day=not all_days)
 
     write_sorted_parquet(
-        analysis.locate(analysis.emissions),
+        analysis.placed_emissions,
         f"{out}/flights",
         "icao24",
         "dep_s",
@@ -59,7 +59,7 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
 
     # Ranges are made of flights, before each becomes a day of minutes. Their number is set
     # by the rows to come: by its own size one shuffle partition would hold a million flights.
-    tasks = flights.count() // settings.flights_per_task + 1
+    tasks = panel_tasks(flights.count(), spark.sparkContext.defaultParallelism, settings)
     ranged = flights.repartitionByRange(tasks, "day", "icao24", "dep_s")
     as_ranged = replace(settings, panel_tasks=None)
     states = panel.flight_states(panel.timeline_expand(ranged, as_ranged), settings)
@@ -76,7 +76,7 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     write_json(damages.final_totals(last), f"{out}/totals")
     write_json(damages.rate_table(spark), f"{out}/rates")
 
-    snapshots.minute_snapshots(flights, priced, settings).write.parquet(f"{out}/snapshots")
+    snapshots.minute_snapshots(flights, priced, sampled.select("day", "t_s"), settings).write.parquet(f"{out}/snapshots")
     peaks = snapshots.peak_positions(flights, sampling.peak_times(sampled), settings)
     peaks.write.parquet(f"{out}/peaks")
 

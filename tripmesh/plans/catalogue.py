@@ -1,9 +1,9 @@
 """Registered queries: name -> function of (session, folder of the driver tables).
 
 Dates and clocks leave as text and doubles leave rounded, so that another SQL
-engine can be compared value by value. Queries that expand flights to minutes
-and return every row run on the chosen date, as the analysis itself does; all
-others run on every day.
+engine can be compared value by value. Every query runs on all days. Those that
+make the flight by minute panel compute all its rows and return them summed up
+per flight; the rows themselves, of the chosen date, are queries ``..._on_date``.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def coverage_pivot(spark, sf_dir):
     a = analysis(spark, sf_dir)
     hourly = coverage.hourly_coverage(a.flights, a.settings)
     hourly = hourly.withColumn("day", F.col("day").cast("string"))
-    return coverage.coverage_pivot(hourly, [f"2024-01-{d:02d}" for d in range(1, 32)])
+    return coverage.coverage_pivot(hourly)
 
 
 @query
@@ -335,46 +335,101 @@ def time_grid(spark, sf_dir):
     return shown(panel.time_grid(a.route_flights.select("day").distinct(), a.settings))
 
 
+STATES = ("has_departed", "has_arrived", "in_air", "taxiing_departure", "taxiing_arrival")
+SEEN = STATES[2:]
+
+
+def summed(panel_: DataFrame, keys, flags=(), sums=(), digits: int = MASS, **by_column: int) -> DataFrame:
+    """Rows of a panel per key: how many, from when to when, with each flag, and sums."""
+    columns = [F.count("*").alias("n"), F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s")]
+    columns += [F.count_if(f).alias(f) for f in flags] + [F.sum(c).alias(c) for c in sums]
+    return shown(panel_.groupBy(*keys).agg(*columns), digits, **by_column)
+
+
+COPY = ("day", "icao24", "dep_s", "arr_s", "aircraft_id")
+
+
+def _expanded(a: Analysis) -> DataFrame:
+    return panel.timeline_expand(a.emissions, a.settings)
+
+
+def _states(a: Analysis) -> DataFrame:
+    return panel.flight_states(panel.timeline_expand(a.route_flights, a.settings), a.settings)
+
+
+def _masses(a: Analysis) -> DataFrame:
+    return panel.cumulative_emissions(panel.flight_states(_expanded(a), a.settings))
+
+
+def _positions(a: Analysis) -> DataFrame:
+    states = panel.flight_states(panel.timeline_expand(a.planes, a.settings), a.settings)
+    return panel.position_table(panel.positions(states))
+
+
+def _timeline(a: Analysis) -> DataFrame:
+    return panel.timeline(a.placed_emissions, a.settings)
+
+
+def _sampled(a: Analysis) -> DataFrame:
+    return snapshots.sampled_positions(a.planes, a.sampled_times, a.settings)
+
+
 @query
 def timeline_expand(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    return panel.timeline_expand(a.emissions, a.settings).select(
-        "icao24", "dep_s", "arr_s", "aircraft_id", "t_s"
-    )
+    return summed(_expanded(analysis(spark, sf_dir)), COPY)
 
 
-STATES = ("has_departed", "has_arrived", "in_air", "taxiing_departure", "taxiing_arrival")
+@query
+def timeline_expand_on_date(spark, sf_dir):
+    return _expanded(analysis(spark, sf_dir, one_day=True)).select("icao24", "dep_s", "arr_s", "aircraft_id", "t_s")
 
 
 @query
 def flight_states(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    states = panel.flight_states(panel.timeline_expand(a.route_flights, a.settings), a.settings)
+    return summed(_states(analysis(spark, sf_dir)), COPY[:4], STATES, ["progress"])
+
+
+@query
+def flight_states_on_date(spark, sf_dir):
+    states = _states(analysis(spark, sf_dir, one_day=True))
     return shown(states.select("icao24", "dep_s", "arr_s", "t_s", *STATES, "progress"), 6)
 
 
 @query
 def cumulative_emissions(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    states = panel.flight_states(panel.timeline_expand(a.emissions, a.settings), a.settings)
-    masses = panel.cumulative_emissions(states)
+    return summed(_masses(analysis(spark, sf_dir)), COPY, sums=POLLUTANTS)
+
+
+@query
+def cumulative_emissions_on_date(spark, sf_dir):
+    masses = _masses(analysis(spark, sf_dir, one_day=True))
     return shown(masses.select("icao24", "dep_s", "arr_s", "t_s", *POLLUTANTS))
 
 
 @query
 def positions(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    states = panel.flight_states(panel.timeline_expand(a.planes, a.settings), a.settings)
-    return shown(panel.position_table(panel.positions(states)), DEGREES)
+    """All positions, summed up per minute, as the table has no flights."""
+    return summed(_positions(analysis(spark, sf_dir)), ["day", "t_s"], SEEN, ["latitude", "longitude", "bearing"])
+
+
+@query
+def positions_on_date(spark, sf_dir):
+    return shown(_positions(analysis(spark, sf_dir, one_day=True)), DEGREES)
 
 
 @query
 def timeline(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    whole = panel.timeline(a.locate(a.emissions), a.settings)
+    sums = ("progress", *POLLUTANTS, "longitude", "latitude", "bearing")
+    return summed(_timeline(analysis(spark, sf_dir)), COPY, STATES, sums)
+
+
+@query
+def timeline_on_date(spark, sf_dir):
     columns = ("icao24", "dep_s", "arr_s", "aircraft_id", "t_s", "t_local")
     return shown(
-        whole.select(*columns, *STATES, "progress", *POLLUTANTS, "longitude", "latitude", "bearing"),
+        _timeline(analysis(spark, sf_dir, one_day=True)).select(
+            *columns, *STATES, "progress", *POLLUTANTS, "longitude", "latitude", "bearing"
+        ),
         MASS,
         progress=6,
         longitude=DEGREES,
@@ -396,7 +451,7 @@ def emissions_timeline(spark, sf_dir):
 @query
 def emissions_timeline_exploded(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    whole = totals.emissions_timeline_exploded(a.emissions, a.passengers, a.settings)
+    whole = totals.emissions_timeline_exploded(a.placed_emissions, a.passengers, a.settings)
     return shown(whole, SUM)
 
 
@@ -410,15 +465,22 @@ def sampled_times(spark, sf_dir):
 
 @query
 def sampled_positions(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    return shown(snapshots.sampled_positions(a.planes, a.sampled_times, a.settings), DEGREES)
+    return summed(_sampled(analysis(spark, sf_dir)), COPY[:3], SEEN, ["latitude", "longitude", "bearing"])
+
+
+@query
+def sampled_positions_on_date(spark, sf_dir):
+    return shown(_sampled(analysis(spark, sf_dir, one_day=True)), DEGREES)
 
 
 @query
 def project_positions(spark, sf_dir):
-    a = analysis(spark, sf_dir, one_day=True)
-    placed = snapshots.sampled_positions(a.planes, a.sampled_times, a.settings)
-    projected = geometry.project_positions(placed)
+    return summed(geometry.project_positions(_sampled(analysis(spark, sf_dir))), COPY[:3], sums=["x", "y"], digits=0)
+
+
+@query
+def project_positions_on_date(spark, sf_dir):
+    projected = geometry.project_positions(_sampled(analysis(spark, sf_dir, one_day=True)))
     return shown(projected.select("icao24", "dep_s", "t_s", "x", "y"), METRES)
 
 
@@ -468,7 +530,7 @@ def peak_positions(spark, sf_dir):
 def minute_snapshots(spark, sf_dir):
     a = analysis(spark, sf_dir)
     priced = damages.damages(a.sampled_totals)
-    rows = snapshots.minute_snapshots(a.planes, priced, a.settings)
+    rows = snapshots.minute_snapshots(a.planes, priced, a.sampled_times, a.settings)
     columns = ("day", "t_s", "icao24", "dep_s", "x", "y", "bearing", "num_flights")
     return shown(
         rows.select(*columns, "passengers_arrived", *PRICED.values(), "total_damage"),

@@ -25,8 +25,15 @@ def measured_settings(raw: DataFrame, settings: Settings) -> Settings:
     ).first()
     days = 1 if span.lo is None else (span.hi - span.lo) // 86400 + 3
     cores = raw.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, span.flights // settings.flights_per_task + 1)
-    return replace(settings, day_bound=days, panel_tasks=tasks)
+    return replace(settings, day_bound=days, panel_tasks=panel_tasks(span.flights, cores, settings))
+
+
+def panel_tasks(flights: int, cores: int, settings: Settings) -> int:
+    """Tasks that expand flights: enough for their number, but bounded by the cluster.
+
+    Expansion streams, so beyond that bound a task is longer, not larger.
+    """
+    return min(max(cores, flights // settings.flights_per_task + 1), cores * settings.tasks_per_core)
 
 
 def measured_tables(register: DataFrame, curve: DataFrame, airports: DataFrame) -> Tables:
@@ -71,6 +78,11 @@ class Analysis:
     def passengers(self) -> DataFrame:
         return totals.passengers_per_flight(self.route_flights, self.settings)
 
+    @cached_property
+    def placed_emissions(self) -> DataFrame:
+        """Emissions of flights whose airports the directory knows: totals and positions count the same ones."""
+        return self.locate(self.emissions)
+
     @cached_property
     def planes(self) -> DataFrame:
         """Flights, fanned out as in ``emissions``, with their paths: positions need no masses."""
@@ -83,7 +95,7 @@ class Analysis:
 
     @cached_property
     def minute_totals(self) -> DataFrame:
-        return totals.emissions_timeline(self.emissions, self.passengers, self.settings)
+        return totals.emissions_timeline(self.placed_emissions, self.passengers, self.settings)
 
     @cached_property
     def sampled_totals(self) -> DataFrame:
