@@ -50,7 +50,11 @@ REACH = 64  # places looked at for a trigger; REACH + GRAM <= LENGTH
 SUFFIX = LENGTH - REACH  # bytes from a trigger that all its strings have
 FIRST_ID = -(1 << 63)
 
-_PHRASE = "suffix long, phrase_a long, phrase_b long, doc long, text_hash long, low int, trigger int, high int"
+# A phrase is four numbers, as there is one for 30 bytes of text. ``place`` holds, from the upper bits on, 20 bits
+# of the hash of the text, the trigger, and the distances to the first and the last string. Starts known to be covered
+# have a negative place, -1 - (tag and first start), the last start as phrase, and any suffix.
+_PHRASE = "suffix long, phrase long, doc long, place long"
+STEP_BITS, AT_BITS = 6, 31
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -101,84 +105,82 @@ class DoubleHashes:
         return self.one(starts, ends).view(np.int64), b.view(np.int64)
 
 
-def phrases_of(ids: np.ndarray, text_hash: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
-    """Columns of _PHRASE for some documents. Phrases that occur before in the slice have suffix 0 and are covered."""
+def phrases_of(ids: np.ndarray, tags: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
+    """Columns of _PHRASE for some documents. Phrases that occur before in the slice are covered."""
     data, bounds = text_bytes(texts)
     row, low, trigger, high = triggers(data, bounds)
     hashes = DoubleHashes(data)
     base = bounds[row]
     suffix = hashes(base + trigger, base + trigger + SUFFIX)[0]
-    suffix[suffix == 0] = 1
-    a, b = hashes(base + low, base + high + LENGTH)
-    b = mixed(b.view(np.uint64) + (trigger - low).astype(np.uint64)).view(np.int64)
-    doc, text = ids[row], text_hash[row]
-    order = np.lexsort((trigger, text, doc, b, a))
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    place = np.column_stack([doc, text, trigger])[order]
+    phrase = mixed(hashes(base + low, base + high + LENGTH)[1].view(np.uint64) + (trigger - low).astype(np.uint64)).view(np.int64)
+    doc, tag = ids[row], tags[row]
+    place = (((tag << AT_BITS | trigger) << STEP_BITS | (trigger - low)) << STEP_BITS) | (high - low)
+    order = np.lexsort((place, doc, phrase, suffix))
+    same = (suffix[order][1:] == suffix[order][:-1]) & (phrase[order][1:] == phrase[order][:-1])
     first = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
-    lead = np.repeat(place[first], np.diff(np.append(first, len(order))), axis=0)
+    lead = np.repeat(order[first], np.diff(np.append(first, len(order))))
     later = np.zeros(len(order), bool)
-    later[order] = (place != lead).any(axis=1)
-    covered_suffix = np.where(later, 0, suffix)
-    return joined_covers([covered_suffix, a, b, doc, text, low, trigger, high])
-
-
-def joined_covers(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Neighbouring covered phrases of one document as one; columns come in the order of the text."""
-    suffix, a, b, doc, text, low, trigger, high = columns
-    if not len(suffix):
-        return columns
-    keep = np.ones(len(suffix), bool)
-    keep[1:] = (suffix[1:] != 0) | (suffix[:-1] != 0) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (low[1:] != high[:-1] + 1)
-    first = np.flatnonzero(keep)
-    last = np.append(first[1:], len(suffix)) - 1
-    return [suffix[first], a[first], b[first], doc[first], text[first], low[first], trigger[first], high[last]]
+    later[order] = (doc[order] != doc[lead]) | (place[order] != place[lead])
+    if not len(later):
+        return [suffix, phrase, doc, place]
+    # Neighbouring covered phrases of one document become one row.
+    keep = np.ones(len(later), bool)
+    keep[1:] = ~later[1:] | ~later[:-1] | (row[1:] != row[:-1])
+    begin = np.flatnonzero(keep)
+    end = np.append(begin[1:], len(later)) - 1
+    gone = later[begin]
+    place = np.where(gone, -1 - (tag[begin] << AT_BITS | low[begin]), place[begin])
+    return [suffix[begin], np.where(gone, high[end], phrase[begin]), doc[begin], place]
 
 
 # --- phrases across documents -----------------------------------------------------
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, text): the place of a document in the order, and its bytes."""
+    """(doc, tag, text): the place of a document in the order, and its bytes."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    tag = F.shiftrightunsigned(F.xxhash64(text), 44).alias("tag")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("doc"), tag, text.alias("text"))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
     """Phrases of all documents."""
     names = [c.split()[0] for c in _PHRASE.split(", ")]
-    types = [pa.int64()] * 5 + [pa.int32()] * 3
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text_hash, texts = batch.columns
+            ids, tags, texts = batch.columns
             for lo, hi in slices(texts):
-                columns = phrases_of(ids[lo:hi].to_numpy(), text_hash[lo:hi].to_numpy(), texts.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                columns = phrases_of(ids[lo:hi].to_numpy(), tags[lo:hi].to_numpy(), texts.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return rows.mapInArrow(parse, _PHRASE)
 
 
 def decided(phrases: DataFrame) -> DataFrame:
-    """(doc, text_hash, low, high, covered): starts that are covered, or open to be looked at one by one."""
-    # Phrases covered within their slice (suffix 0) need no company and are dealt out by place.
-    dealt = phrases.withColumn("deal", F.when(F.col("suffix") == 0, F.xxhash64("doc", "low")).otherwise(F.col("suffix")))
-    place, phrase = F.struct("doc", "text_hash", "trigger"), F.struct("phrase_a", "phrase_b")
-    of_suffix = Window.partitionBy("deal")
-    of_phrase = Window.partitionBy("deal", "phrase_a", "phrase_b").orderBy("doc", "text_hash", "trigger")
-    compared = dealt.select(
+    """(doc, tag, low, high, covered): starts that are covered, or open to be looked at one by one."""
+    place = F.struct("doc", "place")
+    of_suffix = Window.partitionBy("suffix")
+    of_phrase = Window.partitionBy("suffix", "phrase").orderBy("doc", "place")
+    known = F.col("place") < 0
+    compared = phrases.select(
         "*",
         F.first(place).over(of_phrase).alias("first"),
-        (F.min(phrase).over(of_suffix) != F.max(phrase).over(of_suffix)).alias("several"),
+        (F.min("phrase").over(of_suffix) != F.max("phrase").over(of_suffix)).alias("several"),
     )
-    covered = (F.col("suffix") == 0) | (F.col("first") != place)
-    return compared.select("doc", "text_hash", "low", "high", "several", covered.alias("covered")).where("covered OR several").drop("several")
+    covered = known | (F.col("first") != place)
+    bits = lambda c, by, n: F.shiftright(c, by).bitwiseAND(F.lit((1 << n) - 1))
+    mark = F.when(known, -1 - F.col("place")).otherwise(F.shiftright("place", 2 * STEP_BITS))
+    trigger = bits(mark, 0, AT_BITS)
+    low = F.when(known, trigger).otherwise(trigger - bits("place", STEP_BITS, STEP_BITS))
+    high = F.when(known, F.col("phrase")).otherwise(low + bits("place", 0, STEP_BITS))
+    columns = [low.cast("int").alias("low"), high.cast("int").alias("high"), covered.alias("covered")]
+    return compared.where(covered | F.col("several")).select("doc", F.shiftright(mark, AT_BITS).alias("tag"), *columns)
 
 
 def later_strings(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """(doc, text_hash, low, high): open strings that start earlier, too."""
-    lists = open_.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    schema = "a long, b long, doc long, text_hash long, low int"
+    """(doc, tag, low, high): open strings that start earlier, too."""
+    lists = open_.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,23 +189,25 @@ def later_strings(rows: DataFrame, open_: DataFrame) -> DataFrame:
                 spans = batch.column("spans")[k].as_py()
                 starts = np.unique(np.concatenate([np.arange(s["low"], s["high"] + 1) for s in spans]))
                 a, b = DoubleHashes(text)(starts, starts + LENGTH)
-                place = [np.full(len(starts), batch.column(c)[k].as_py(), np.int64) for c in ("doc", "text_hash")]
-                columns = [pa.array(a), pa.array(b), *map(pa.array, place), pa.array(starts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "text_hash", "low"])
+                doc, tag = (batch.column(c)[k].as_py() for c in ("doc", "tag"))
+                columns = [pa.array(a), pa.array(b), pa.array(np.full(len(starts), doc)), pa.array(tag << AT_BITS | starts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "place"])
 
-    found = rows.join(lists, ["doc", "text_hash"], "left").where("spans IS NOT NULL").mapInArrow(strings, schema)
-    place = F.struct("doc", "text_hash", "low")
-    first = F.first(place).over(Window.partitionBy("a", "b").orderBy("doc", "text_hash", "low"))
-    return found.select("doc", "text_hash", "low", F.col("low").alias("high"), (first != place).alias("later")).where("later").drop("later")
+    found = rows.join(lists, ["doc", "tag"], "left").where("spans IS NOT NULL").mapInArrow(strings, "a long, b long, doc long, place long")
+    place = F.struct("doc", "place")
+    first = F.first(place).over(Window.partitionBy("a", "b").orderBy("doc", "place"))
+    later = found.withColumn("later", first != place).where("later")
+    low = F.col("place").bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int")
+    return later.select("doc", F.shiftright("place", AT_BITS).alias("tag"), low.alias("low"), low.alias("high"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc, text_hash, text, spans) of all documents; spans: first and last starts of strings that go."""
+    """Rows (doc, tag, text, spans) of all documents; spans: first and last starts of strings that go."""
     rows = keyed(docs)
     found = saved(decided(parsed(rows)), "phrases")
     covered = found.where("covered").drop("covered").union(later_strings(rows, found.where("NOT covered").drop("covered")))
-    lists = covered.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return rows.join(lists, ["doc", "text_hash"], "left")
+    lists = covered.groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return rows.join(lists, ["doc", "tag"], "left")
 
 
 def without(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
