@@ -11,7 +11,6 @@ import re
 from functools import cache
 
 from tripmesh.config import POLLUTANTS, PRICED, suffixed
-from tripmesh.operators.damages import SCENARIOS, damage_rates
 from tripmesh.plans.fixtures import AIRPORTS, ARRIVALS, CCD_DURATIONS, DEPARTURES
 
 ZONE = "Australia/Sydney"
@@ -221,9 +220,21 @@ TABLES = {
 DAMAGES = [f"{p}_damage" for p in PRICED] + ["total_damage"]
 
 
+SCENARIOS = ("as_published", "pm_corrected", "official_price")
+CARBON = "(308 * (100.32::DOUBLE / 81) * pow(1.015::DOUBLE, 6) * 1.42804505::DOUBLE / 1000)"
+
+
+def _rates(scenario: str) -> dict[str, str]:
+    """AUD per kg, written out once more from the published prices."""
+    carbon = "0.08::DOUBLE" if scenario == "official_price" else CARBON
+    pounds = {"sox": 26193, "nox": 17172, "hc": 150, "pm": 146743 if scenario == "pm_corrected" else 17172}
+    rates = {p: f"({n} * 1.90707364::DOUBLE / 1000)" for p, n in pounds.items()}
+    return rates | {"co2": carbon, "co": f"({carbon} * 1.9::DOUBLE)", "hc": f"({rates['hc']} + 10.5::DOUBLE * {carbon})"}
+
+
 def _costs(scenario: str) -> str:
-    rates = damage_rates(scenario)
-    return ", ".join(f"{mass} * {rates[p]!r}::DOUBLE AS {p}_damage" for p, mass in PRICED.items())
+    rates = _rates(scenario)
+    return ", ".join(f"{mass} * {rates[p]} AS {p}_damage" for p, mass in PRICED.items())
 
 
 TABLES["priced"] = TABLES["priced"].format(sum=" + ".join(DAMAGES[:-1]), costs=_costs("as_published"))
@@ -371,6 +382,12 @@ SELECTS = {
         for p, mass in PRICED.items()
     )
     + f" UNION ALL SELECT {DAY}, 'total', CAST(NULL AS DOUBLE), {rounded('total_damage', 'cost', MONEY)} FROM last_rows",
+    "rates_records": " UNION ALL ".join(
+        f"SELECT {DAY}, '{s}' AS scenario, '{p}' AS pollutant, {rounded(_rates(s)[p], 'rate', 6)},"
+        f" {rounded(f'{mass} * {_rates(s)[p]}', 'cost', MONEY)} FROM last_rows"
+        for s in SCENARIOS
+        for p, mass in PRICED.items()
+    ),
     "sink_json_roundtrip": f"SELECT {TOTALS_COLUMNS}, {masses(DAMAGES, MONEY)} FROM last_rows",
     "planes_in_air": f"SELECT {DAY}, t_s, planes_in_air FROM sampled WHERE planes_in_air > 0",
     "peak_positions": f"""

@@ -565,3 +565,17 @@ def sink_json_roundtrip(spark, sf_dir):
     write_json(last, path)
     rounding = dict.fromkeys(DAMAGES, MONEY)
     return shown(spark.read.schema(last.schema).json(path), SUM, **rounding)
+
+
+@query
+def rates_records(spark, sf_dir):
+    """Rates written as JSON records and read back, beside what they make of the last row of each day."""
+    path = scratch_path(spark, "rates")
+    rates = damages.rate_table(spark)
+    write_json(rates, path)
+    rates = spark.read.schema(rates.schema).json(path)
+    records = rates.agg(F.collect_list(F.struct("*")).alias("r")).scalar()  # three records
+    last = sampling.final_record(analysis(spark, sf_dir).minute_totals).withColumn("rates", F.explode(records))
+    lines = ", ".join(f"'{p}', rates.{p}_rate, rates.{p}_rate * {mass}" for p, mass in PRICED.items())
+    priced = last.selectExpr("day", "rates.scenario", f"stack({len(PRICED)}, {lines}) AS (pollutant, rate, cost)")
+    return shown(priced, MONEY, rate=6)
