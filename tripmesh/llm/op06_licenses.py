@@ -9,7 +9,7 @@ with a chance below (1 - 0.36)**32, one in a million. Windows so retrieved are
 verified by their shingles: the share of the template's that they contain must
 be 0.8 or more.
 
-Only texts with a pair of words that every 0.8 match must have go that far: for
+Only windows with a pair of words that every 0.8 match must have go that far: for
 each template, pairs of neighbouring words of which each of its shingles has
 one. Texts are taken in blocks of 1024 shingles, so a very long one is many rows.
 The template table, a row per template and band, is broadcast up to
@@ -54,15 +54,26 @@ BLOCK = 1024
 BROADCAST_TEMPLATES = 2000
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def hashes_of(text: Column) -> Column:
     """Hashes of all shingles of a text, in order."""
+    return let(words_of(text), shingle_hashes)
+
 
-    def shingles(words: Column) -> Column:
-        at = lambda k: F.xxhash64(*[F.coalesce(F.get(words, k + j), F.lit("")) for j in range(SHINGLE)])
-        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), at)
-        return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<bigint>"))
+def shingle_hashes(words: Column) -> Column:
+    at = lambda k: F.xxhash64(*[F.coalesce(F.get(words, k + j), F.lit("")) for j in range(SHINGLE)])
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), at)
+    return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), shingles)
+
+def anchored(words: Column, pairs: list[tuple[str, ...]]) -> Column:
+    """For each word whether an anchor starts there."""
+    known = [" ".join(p) for p in pairs]
+    alone = [p[0] for p in pairs if len(p) == 1] or [""]
+    return F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1)).isin(known) | w.isin(alone))
 
 
 def anchors(templates: dict[str, str]) -> list[tuple[str, ...]]:
@@ -95,26 +106,34 @@ def band_hashes(shingles: Column) -> Column:
 
 
 def blocks(docs: DataFrame, templates: dict[str, str], longest: int) -> DataFrame:
-    """(doc_id, block, shingles) of documents that may match; blocks overlap by what a window may need."""
-    pattern = "|".join("[^a-z0-9]+".join(p) for p in anchors(templates))
+    """(doc_id, block, shingles, marks) of documents that may match; blocks overlap by what a window may need."""
+    pairs = anchors(templates)
+    pattern = "|".join("[^a-z0-9]+".join(p) for p in pairs)
     some = docs.select("doc_id", "text").where(F.lower("text").rlike(pattern) if pattern else F.lit(False))
 
-    def cut(every: Column) -> Column:
+    def cut(text: Column) -> Column:
+        every, marks = text["shingles"], text["marks"]
         return F.transform(
             F.sequence(F.lit(0), F.floor(F.greatest(F.size(every) - 1, F.lit(0)) / BLOCK).cast("int")),
-            lambda k: F.struct(k.alias("block"), F.slice(every, k * BLOCK + 1, BLOCK + 2 * longest).alias("shingles")),
+            lambda k: F.struct(
+                k.alias("block"),
+                F.slice(every, k * BLOCK + 1, BLOCK + 2 * longest).alias("shingles"),
+                F.slice(marks, k * BLOCK + 1, BLOCK + 2 * longest + SHINGLE).alias("marks"),
+            ),
         )
 
-    return some.select("doc_id", F.inline(let(hashes_of(F.col("text")), cut))).where(F.size("shingles") > 0)
+    both = let(words_of(F.col("text")), lambda w: F.struct(shingle_hashes(w).alias("shingles"), anchored(w, pairs).alias("marks")))
+    return some.select("doc_id", F.inline(let(both, cut))).where(F.size("shingles") > 0)
 
 
 def window_minima(cut: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, block, size, at, window, minima) of the windows for templates of the given sizes."""
+    """(doc_id, block, size, at, window, minima) of the windows with an anchor, for templates of the given sizes."""
 
     def windows(hashed: Column, size: int) -> Column:
         last = F.floor((F.least(F.size("shingles"), F.lit(BLOCK)) - 1) / size).cast("int")
+        marked = lambda k: F.array_contains(F.slice("marks", k * size + 1, 2 * size + SHINGLE - 1), True)
         return F.transform(
-            F.sequence(F.lit(0), last),
+            F.filter(F.sequence(F.lit(0), last), marked),
             lambda k: F.struct(
                 F.lit(size).alias("size"),
                 (k * size).alias("at"),
