@@ -68,3 +68,15 @@ def test_defined_cases(spark):
     assert op.predict(documents(spark, []), samples).collect() == []
     only_null = op.learn(documents(spark, [None, "x"], lang=None).select("text", "lang"))
     assert only_null == op.Samples((), ())
+
+
+def test_sample_is_the_first_distinct_texts_however_many_copies(spark):
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip()
+    for seed in range(2):
+        long, others = f"{seed} " + letters(5000), [letters(1000) for _ in range(100)]
+        docs = documents(spark, [long] * 2900 + others + ["..."] * 5, lang="xx").select("text", "lang").repartition(8)
+        distinct = docs.where("text <> '...'").distinct().selectExpr("text", "pmod(xxhash64(text), 1 << 30) AS o").orderBy("o").collect()
+        want = " ".join(op.letters_of(x.text) for x in distinct)
+        for chars in (24_000, 1_000_000):
+            assert op.learn(docs, chars) == op.Samples(("xx",), (want[:chars],))

@@ -8,8 +8,9 @@ per letter, estimates the cross entropy, and the smallest one wins. Texts are
 parsed in segments of 1024 letters, a phrase ending with its segment, so a very
 long text is many segments and all segments of a slice move in step.
 
-The sample is bounded: ``sample_chars`` letters per language, from whole texts
-taken by a hash of the text, so copies count once. Every text is scored whole.
+The sample is bounded: ``sample_chars`` letters per language, or all it has, from
+distinct texts in the order of a hash, so copies count once however many they
+are. Every text is scored whole.
 
 Letters are lower-cased; runs of anything else become one blank. Defined cases:
 a text that is null or without letters is ``und`` with score 0, as is every text
@@ -20,12 +21,15 @@ repeated rows get equal answers; empty tables give no rows.
 from __future__ import annotations
 
 import re
+from bisect import insort
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +39,11 @@ SAMPLE_CHARS = 24_000
 SEGMENT = 1024
 UNKNOWN = "und"
 SYMBOLS = 64
+MAX_ORDER = 1 << 30
 
 _OTHER = re.compile(r"[\W\d_]+")
+_NAMES = ["lang", "order", "key", "letters"]
+_TAKEN = [pa.string(), pa.int64(), pa.int64(), pa.string()]
 _FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
@@ -53,26 +60,62 @@ class Samples:
     texts: tuple[str, ...]
 
 
+class FirstTexts:
+    """Of the texts of a language that are offered, the first by hash that hold ``chars`` letters. Copies count once."""
+
+    def __init__(self, chars: int) -> None:
+        self.chars, self.letters, self.limit = chars, 0, MAX_ORDER
+        self.kept: list[tuple[int, int, str]] = []
+        self.known: set[int] = set()
+
+    def offer(self, order: int, key: int, text: bytes) -> None:
+        if key in self.known or not (found := letters_of(text.decode("utf-8", "replace"))[: self.chars]):
+            return
+        insort(self.kept, (order, key, found))
+        self.known.add(key)
+        self.letters += len(found)
+        while self.letters - len(self.kept[-1][2]) >= self.chars:
+            _, key, last = self.kept.pop()
+            self.known.discard(key)
+            self.letters -= len(last)
+        if self.letters >= self.chars:
+            self.limit = self.kept[-1][0]
+
+
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Samples:
     """Samples of docs (text, lang); the rows that may not be learned from are left out by the caller.
 
-    Two scans: counts per language, then a share of the texts that gives about
-    four times the letters wanted, of which the first by hash are collected.
+    One scan: each task keeps the first texts by hash of each language that hold
+    ``sample_chars`` letters. The first ones of all are among them, as fewer
+    letters come before them in a task than in the whole.
     """
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).collect()
-    if not sizes:
-        return Samples((), ())
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    share = {r.lang: 1.0 if r.n < 50 else min(1.0, 4 * sample_chars / max(1, r.chars) + 40 / r.n) for r in sizes}
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))])
-    some = known.where(order < F.element_at(limit, F.col("lang"))).select("lang", F.substring("text", 1, 4 * sample_chars).alias("text"), order.alias("order"))
-    some = saved(some.distinct(), "sample")
-    texts: dict[str, list[str]] = {r.lang: [] for r in sizes}
-    for r in some.orderBy("lang", "order", "text").toLocalIterator():
-        if sum(map(len, texts[r.lang])) < sample_chars:
-            texts[r.lang].append(letters_of(r.text))
-    found = {k: " ".join(v)[:sample_chars] for k, v in texts.items() if any(v)}
+    key = F.xxhash64("text")
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
+        "lang", F.pmod(key, F.lit(MAX_ORDER)).alias("order"), key.alias("key"), F.col("text").cast("binary").alias("text")
+    )
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, FirstTexts] = {}
+        for batch in batches:
+            langs, order, keys, texts = batch.columns
+            coded = langs.dictionary_encode()
+            mine = [found.setdefault(k, FirstTexts(sample_chars)) for k in coded.dictionary.to_pylist()]
+            code, order = coded.indices.to_numpy(), order.to_numpy()
+            limits = np.array([m.limit for m in mine], np.int64)
+            for k in np.flatnonzero(order <= limits[code]).tolist():
+                if order[k] <= mine[code[k]].limit:
+                    mine[code[k]].offer(int(order[k]), keys[k].as_py(), texts[k].as_py())
+        for lang, texts in found.items():
+            columns = zip(*[(lang, *t) for t in texts.kept])
+            yield from [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TAKEN)], names=_NAMES)] if texts.kept else []
+
+    taken = saved(known.mapInArrow(first, "lang string, order long, key long, letters string"), "sample")
+    before = Window.partitionBy("lang").orderBy("order", "key", "letters").rowsBetween(Window.unboundedPreceding, -1)
+    some = taken.distinct().withColumn("before", F.coalesce(F.sum(F.length("letters")).over(before), F.lit(0)))
+    texts: dict[str, list[str]] = defaultdict(list)
+    for r in some.where(F.col("before") < sample_chars).orderBy("lang", "order", "key", "letters").toLocalIterator():
+        texts[r.lang].append(r.letters)
+    found = {k: " ".join(v)[:sample_chars] for k, v in texts.items()}
     return Samples(tuple(sorted(found)), tuple(found[k] for k in sorted(found)))
 
 
