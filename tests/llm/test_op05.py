@@ -78,3 +78,24 @@ def test_memo_that_is_full_changes_nothing(monkeypatch):
     monkeypatch.setattr(op, "MEMO_WORDS", 0)
     full = op.Pool(["moron", "scumbag"])
     assert np.array_equal(want, np.concatenate([full(texts[:40]), full(texts[40:])]))
+
+
+def test_long_and_joined_chunks_are_compared():
+    marks = op.Landmarks(["moron", "scum"])
+
+    def exact(word, mark):
+        k = lambda a, b: subsequence_kernel(a, b)
+        return (k(word, mark) / (k(word, word) * k(mark, mark)) ** 0.5) ** op.SHARPNESS
+
+    whole = ["mmmooorrrooonnn", "moronmoronmoron", "scumscumscum"]
+    got = marks.rows(whole)
+    for row, word in zip(got, whole):
+        for value, mark in zip(row, marks.words):
+            assert value >= (exact(word, mark) * 0.999 if set(mark) <= set(word) else 0)
+    assert got[0, 0] > 0.19 and got[1, 0] > 0.26 and got[2, 1] > 0.2
+    pool = op.Pool(["moron", "scum"])
+    filler = "bdfghjkl" * 40
+    for at in range(12):
+        joined, glued = pool(["trash/moron/and-scum", "x" * at + filler[at:] + "moron" + filler])
+        assert joined.tolist() == pytest.approx([1, 1]) and glued[0] > 0.03 and glued[1] < 0.01
+    assert pool(["q" * 100_000, "日本語" * 30_000]).max() == 0

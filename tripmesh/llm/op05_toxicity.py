@@ -8,9 +8,12 @@ k(word, landmarks) K^-1/2. A text is the largest kernel value of its words to
 each landmark. A linear support vector machine with squared hinge loss is trained
 on the mapped texts and its margin is turned into a probability.
 
-Words that cannot come near a landmark, having too few of its letters or being
-more than twice as long, get kernel 0 without computation. Kernel rows of words
-are kept in a memo of bounded size in each worker.
+Words are what stands between white space, and the parts of it that punctuation
+joins. Those that cannot come near a landmark, having too few of its letters or
+less than half its length, get kernel 0 without computation. A word more than
+twice as long as a landmark is compared whole up to ``MAX_LETTERS`` letters, and
+of any length by overlapping pieces of twice the landmark, the largest value
+counting. Kernel rows of words are kept in a memo of bounded size in each worker.
 
 The fit uses about ``max_labels`` labelled rows, taken by a hash of the id; that
 is its only bound, and every text is scored whole.
@@ -28,6 +31,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -44,6 +48,8 @@ FEWEST = 16
 ORDER, DECAY, SHARPNESS = 3, 0.7, 4
 MAX_LETTERS = 32
 SHARED = 0.6
+PIECES = 20_000
+WIDTHS = np.array([6, 8, 10, 13, 18, 24])  # words of like length are compared together
 MEMO_WORDS = 300_000
 RIDGE = 1.0
 
@@ -60,9 +66,13 @@ def word_of(chunk: str) -> str:
 
 
 def chunks_of(text: str) -> set[str]:
-    """Distinct chunks between white space, and runs of single letters written as one."""
+    """Distinct chunks between white space, their parts between punctuation, and runs of single letters written as one."""
     chunks = text.split()
     found = set(chunks)
+    for c in [c for c in found if not c.isalnum()]:
+        parts = [p for p in _LETTERS.split(c) if p]
+        if len(parts) > 1:
+            found.update(p for p in parts if len(p) >= ORDER)
     if sum(len(c) == 1 for c in chunks) > 2:
         run = ""
         for c in [*chunks, ".."]:
@@ -128,26 +138,46 @@ class Landmarks:
 
     def rows(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)), np.float32)
-        long_enough = [k for k, w in enumerate(words) if ORDER <= len(w) <= MAX_LETTERS]
-        if not long_enough or not self.words:
+        whole = [k for k, w in enumerate(words) if ORDER <= len(w) <= MAX_LETTERS]
+        longer = [k for k, w in enumerate(words) if len(w) > MAX_LETTERS]
+        if not self.words or not whole and not longer:
             return out
-        index = np.array(long_enough)
-        codes = coded([words[k] for k in long_enough])
+        self._compare(out, whole, [words[k] for k in whole], np.arange(len(self.words)))
+        index = np.array(whole + longer)
+        lengths = np.array([len(words[k]) for k in index])
+        letters = np.concatenate([letters_of(coded([words[k] for k in whole]))[: len(whole)], *[letters_of(coded([words[k]])) for k in longer]])
+        for n in np.unique(self.length).tolist():
+            marks = np.flatnonzero(self.length == n)
+            near = (np.bitwise_count(letters[:, None] & self.letters[marks]) >= self.need[marks]).any(axis=1)
+            long = index[near & (lengths > 2 * n)].tolist()
+            pieces = ((k, words[k][at : at + 2 * n]) for k in long for at in range(0, len(words[k]) - n, n))
+            for some in batched(pieces, PIECES):
+                self._compare(out, [k for k, _ in some], [p for _, p in some], marks)
+        return out
+
+    def _compare(self, out: np.ndarray, owner: list[int], words: list[str], marks: np.ndarray) -> None:
+        """Raises the rows of the owners of words to the values of the words to some landmarks."""
+        if not words:
+            return
+        index, codes = np.array(owner), coded(words)
         lengths, letters = (codes > 0).sum(axis=1), letters_of(codes)
-        near = np.bitwise_count(letters[:, None] & self.letters) >= self.need
-        near &= (lengths[:, None] <= 2 * self.length) & (2 * lengths[:, None] >= self.length)
+        near = np.bitwise_count(letters[:, None] & self.letters[marks]) >= self.need[marks]
+        near &= 2 * lengths[:, None] >= self.length[marks]
         own = np.ones(len(index), np.float32)
         some = np.flatnonzero(near.any(axis=1))
+        some = some[np.argsort(lengths[some], kind="stable")]
         for lo in range(0, len(some), 4000):
-            at = some[np.argsort(lengths[some], kind="stable")][lo : lo + 4000]
+            at = some[lo : lo + 4000]
             part = codes[at][:, : lengths[at].max()]
             own[at] = subsequence_kernel(part, part)
-        for j in range(len(self.words)):
-            at = np.flatnonzero(near[:, j])
-            if len(at) and self.norm[j] > 0:
-                value = subsequence_kernel(self.codes[j], codes[at][:, : lengths[at].max()])
-                out[index[at], j] = (value / np.sqrt(own[at] * self.norm[j])) ** SHARPNESS
-        return out
+        place = np.searchsorted(WIDTHS, lengths)
+        for j, mark in enumerate(marks.tolist()):
+            if self.norm[mark] <= 0:
+                continue
+            for width in np.unique(place[near[:, j]]).tolist():
+                at = np.flatnonzero(near[:, j] & (place == width))
+                value = subsequence_kernel(self.codes[mark], codes[at][:, : lengths[at].max()])
+                np.maximum.at(out[:, mark], index[at], (value / np.sqrt(own[at] * self.norm[mark])) ** SHARPNESS)
 
 
 @lru_cache(maxsize=1)
