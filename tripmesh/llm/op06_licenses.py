@@ -9,6 +9,10 @@ with a chance below (1 - 0.36)**32, one in a million. Windows so retrieved are
 verified by their shingles: the share of the template's that they contain must
 be 0.8 or more.
 
+The windows are those of the SQL, so a notice interrupted by several words, which
+is longer than what surely lies in one window, is found or missed depending on
+where it starts.
+
 Only windows with a pair of words that every 0.8 match must have go that far: for
 each template, pairs of neighbouring words of which each of its shingles has
 one. Texts are taken in blocks of 1024 shingles, so a very long one is many rows.
