@@ -80,3 +80,15 @@ def test_sample_is_the_first_distinct_texts_however_many_copies(spark):
         want = " ".join(op.letters_of(x.text) for x in distinct)
         for chars in (24_000, 1_000_000):
             assert op.learn(docs, chars) == op.Samples(("xx",), (want[:chars],))
+
+
+def test_letters_of_many_scripts():
+    r = random.Random(9)
+    script = lambda first, size, n: "".join(chr(first + r.randrange(size)) for _ in range(n))
+    places = {"cyrillic": (0x430, 32), "greek": (0x3B1, 17), "han a": (0x4E00, 400), "han b": (0x5200, 400), "hangul": (0xAC00, 2000)}
+    samples = op.Samples(tuple(places), tuple(script(*p, 3000) for p in places.values()))
+    parser = op.Parser(samples)
+    texts = [t[k : k + 30] + t[-k - 30 : -k] for k, t in enumerate(samples.texts, 100)]
+    got = parser.phrases(texts)
+    assert got.tolist() == [[greedy(t, s) for s in samples.texts] for t in texts]
+    assert (got * parser.cost).argmin(axis=1).tolist() == list(range(len(places)))

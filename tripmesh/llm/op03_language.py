@@ -38,7 +38,6 @@ from tripmesh.llm.common import annotate, id_remainder, plain, read_table, saved
 SAMPLE_CHARS = 24_000
 SEGMENT = 1024
 UNKNOWN = "und"
-SYMBOLS = 64
 MAX_ORDER = 1 << 30
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -149,32 +148,68 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def packed(step: list[dict[int, int]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Transitions in one row of slots: that of state s by code c is in slot base[s] + c. Bases differ.
+
+    Returns the bases, and for each slot the state that owns it (-1: none) and where it leads.
+    """
+    order = sorted(range(len(step)), key=lambda s: -len(step[s]))
+    top = max((c for out in step for c in out), default=0)
+    size = 2 * sum(map(len, step)) + len(step) + 2 * top + 2
+    free, unused = np.ones(size, bool), np.ones(size, bool)
+    owner, target = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    base, low = [0] * len(step), {}
+    for s in order:
+        codes = np.array(sorted(step[s]), np.int64)
+        at = low.get(len(codes), 0)
+        while True:
+            here = np.arange(at, min(at + 256, size - top - 1))
+            if not len(here):  # no place is left: more slots
+                free, unused = np.pad(free, (0, size), constant_values=True), np.pad(unused, (0, size), constant_values=True)
+                owner, target = np.pad(owner, (0, size), constant_values=-1), np.pad(target, (0, size))
+                size *= 2
+                continue
+            good = unused[here]
+            for c in codes.tolist():
+                good = good & free[here + c]
+            if good.any():
+                break
+            at += 256
+        base[s] = int(here[good.argmax()])
+        low[len(codes)] = at
+        unused[base[s]] = False
+        free[base[s] + codes] = False
+        owner[base[s] + codes] = s
+        target[base[s] + codes] = [step[s][c] for c in codes.tolist()]
+    return base, owner, target
+
+
 class Parser:
-    """All automata in one table of transitions, state by symbol. State 0 stands for no way on."""
+    """All automata in one row of slots. A state is the number of its first slot; 0 stands for no way on.
+
+    A slot holds the state that owns it in the upper half and the next state in the lower one.
+    """
 
     def __init__(self, samples: Samples) -> None:
         self.samples = samples
-        counts: dict[str, int] = {}
-        for c in "".join(samples.texts):
-            counts[c] = counts.get(c, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 1]
-        self.symbols = np.zeros(0x110000, np.uint8)  # 0: a letter that ends every phrase
-        for k, c in enumerate(sorted(common), 1):
+        letters = sorted(set("".join(samples.texts)))
+        self.symbols = np.zeros(0x110000, np.int32)  # 0: a letter of no sample, which ends every phrase
+        for k, c in enumerate(letters, 1):
             self.symbols[ord(c)] = k
-        tables, self.starts, at = [np.zeros((1, SYMBOLS), np.int32)], [], 1
+        slots, self.starts, at = [np.zeros(1, np.int64)], [], 1
         for text in samples.texts:
-            step = suffix_automaton([int(self.symbols[ord(c)]) for c in text])
-            table = np.zeros((len(step), SYMBOLS), np.int32)
-            for s, out in enumerate(step):
-                for c, t in out.items():
-                    if c:
-                        table[s, c] = at + t
-            self.starts.append(at)
-            tables.append(table)
-            at += len(step)
-        self.table = np.concatenate(tables).ravel()
+            base, owner, target = packed(suffix_automaton([int(self.symbols[ord(c)]) for c in text]))
+            state = np.array(base, np.int64) + at
+            slots.append(np.where(owner < 0, 0, state[owner] << 32 | state[target]))
+            self.starts.append(int(state[0]))
+            at += len(owner)
+        self.slots = np.concatenate([*slots, np.zeros(len(letters) + 1, np.int64)])
         self.cost = np.log2([max(2, len(t)) for t in samples.texts])
 
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        slot = self.slots[state + codes]
+        return np.where(slot >> 32 == state, slot & 0xFFFFFFFF, 0)
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text by each language."""
         lengths = np.array([len(t) for t in texts])
@@ -186,7 +221,7 @@ class Parser:
         size = np.minimum(SEGMENT, lengths[row] - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
         row, begin, size = row[order], begin[order], size[order]
-        start = np.repeat(np.array(self.starts, np.int64)[:, None] * SYMBOLS, len(row), axis=1)
+        start = np.repeat(np.array(self.starts, np.int64)[:, None], len(row), axis=1)
         state, begun = start.copy(), np.zeros(start.shape, np.int32)
         live = len(row)
         for k in range(SEGMENT if len(size) else 0):
@@ -195,12 +230,12 @@ class Parser:
             if not live:
                 break
             c = codes[begin[:live] + k].astype(np.int64)
-            now = self.table[state[:, :live] + c]
+            now = self.step(state[:, :live], c)
             stuck = now == 0
             begun[:, :live] += stuck | (state[:, :live] == start[:, :live])
-            again = self.table[start[:, :live] + c]
+            again = self.step(start[:, :live], c)
             np.copyto(now, again, where=stuck)
-            state[:, :live] = np.where(now == 0, start[:, :live], now.astype(np.int64) * SYMBOLS)
+            state[:, :live] = np.where(now == 0, start[:, :live], now)
         total = np.zeros((len(texts), len(self.starts)))
         np.add.at(total, row, begun.T)
         return total
