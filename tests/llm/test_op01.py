@@ -53,3 +53,26 @@ def test_blocks_of_items_and_clashing_columns(spark, small):
     kept = op.keep_clean(docs, bench)
     assert kept.columns == docs.columns
     assert kept.count() == one.where("size(item_ids) = 0").count() < docs.count()
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    items = [(i, words(12)) for i in range(40)] + [(3, words(9))]
+    texts = [None, "", *[words(r.randint(0, 20)) + " " + items[k][1] + " " + items[k + 1][1] for k in range(0, 40, 2)], items[5][1], items[5][1]]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    alive, most, total = set(), [0], [0]
+    make, Broadcast = spark.sparkContext.broadcast, type(spark.sparkContext.broadcast(0))
+    destroy = Broadcast.destroy
+
+    def made(value):
+        b = make(value)
+        alive.add(id(b))
+        most[0], total[0] = max(most[0], len(alive)), total[0] + 1
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", made)
+    monkeypatch.setattr(Broadcast, "destroy", lambda b, *a: (alive.discard(id(b)), destroy(b, *a))[1])
+    many = sorted(map(str, op.decontaminate(docs, bench, block_bytes=400).collect()))
+    assert most[0] == 1 and total[0] > 2
+    assert many == sorted(map(str, op.decontaminate(docs, bench).collect()))

@@ -8,9 +8,10 @@ Blocks stand for words rather than letters, so most of a text is jumped over in
 steps of eight words. Texts are cut into overlapping lanes which move in step,
 so a very long text is no slower than many short ones.
 
-Benchmark rows are taken in blocks of ``block_bytes``. Each block is broadcast,
-so its size is what the bound is on, and the blocks search the same pass over
-the documents one after the other: no shuffle, any number of items.
+Benchmark rows are taken in blocks of ``block_bytes``. One block is broadcast and
+searched in one pass, without a shuffle. Of several, only one at a time is on
+the driver and in the workers: each has its own pass over the documents, which
+writes the spans and items of the texts with hits, and these are merged by text.
 
 Defined cases: null or wordless texts have no words and no hits; items that are
 null, wordless or have no id match nothing; repeated item rows count once;
@@ -20,6 +21,8 @@ repeated documents give one row each; empty tables give no hits or no rows.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmesh.llm.common import LOWER, SpanHashes, annotate, mixed, plain, read_table, text_bytes, word_bounds
+from tripmesh.llm.common import LOWER, ROW, SpanHashes, annotate, mixed, plain, read_table, saved, text_bytes, word_bounds
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 BLOCK_WORDS = 3
 LANE = 512
 TABLE_BITS = 18
+KEY = "text_key"
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[ord("0") : ord("9") + 1] = True
@@ -55,24 +59,72 @@ def decontaminate(
 
     The carried columns are in the struct column ``common.ROW``.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, block_bytes)]
-
-    def make():
-        searches = [WindowSearch(b.value, window) for b in blocks]
-        return lambda ids, texts: scan(texts, searches)
-
-    return annotate(docs, FIELDS, make, docs.columns if carry is None else carry)
+    carry = docs.columns if carry is None else carry
+    n, items = benchmark_blocks(benchmark, block_bytes)
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(block_items(items, 0))
+        return annotate(docs, FIELDS, lambda: searched(WindowSearch(shared.value, window)), carry)
+    hits = saved(reduce(DataFrame.union, [block_hits(docs, items, k, window) for k in range(n)]), "hits")
+    hits = hits.groupBy(KEY).agg(
+        F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids")
+    )
+    hits = saved(hits.select(KEY, merged("hit_spans").alias("hit_spans"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids")), "merged")
+    every = annotate(docs, [*FIELDS, T.StructField(KEY, T.BinaryType())], keyed, carry).drop("hit_spans", "item_ids")
+    none = [F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) for f in FIELDS[1:]]
+    return every.join(hits, KEY, "left").select(ROW, "n_words", *none)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """Items in blocks of a bounded size; each block is fetched on its own."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, DataFrame]:
+    """How many blocks of a bounded size there are, and the items; several blocks are written apart, so that each is read alone."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     items = items.where("item_id IS NOT NULL AND length(text) > 0")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
-    parts = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-    return [[(r.item_id, bytes(r.text)) for r in p.distinct().collect()] for p in parts]
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n > 1 else F.lit(0))
+    return n, saved(items.repartitionByRange(n, "block").sortWithinPartitions("block"), "items") if n > 1 else items
+
+
+def block_items(items: DataFrame, block: int) -> list[tuple[int, bytes]]:
+    return [(r.item_id, bytes(r.text)) for r in items.where(F.col("block") == block).select("item_id", "text").distinct().collect()]
+
+
+def searched(search: WindowSearch):
+    return lambda ids, texts: scan(texts, [search])
+
+
+def keyed():
+    """Words without a search, and the key of each text: hits depend on nothing else."""
+    return lambda ids, texts: [*scan(texts, []), text_keys(texts)]
+
+
+def text_keys(texts: pa.Array) -> pa.Array:
+    return pa.array([blake2b(t or b"", digest_size=16).digest() for t in texts.to_pylist()], pa.binary())
+
+
+def block_hits(docs: DataFrame, items: DataFrame, block: int, window: int) -> DataFrame:
+    """(text_key, hit_spans, item_ids) of the texts with hits of one block, written before the next block is fetched."""
+    shared = docs.sparkSession.sparkContext.broadcast(block_items(items, block))
+
+    def make():
+        search = WindowSearch(shared.value, window)
+        return lambda ids, texts: [*scan(texts, [search]), text_keys(texts)]
+
+    found = annotate(docs, [*FIELDS, T.StructField(KEY, T.BinaryType())], make, []).where(F.size("item_ids") > 0)
+    found = saved(found.groupBy(KEY).agg(F.first("hit_spans").alias("hit_spans"), F.first("item_ids").alias("item_ids")), "block")
+    shared.destroy()
+    return found
+
+
+def merged(spans: str):
+    """Sorted spans with those that overlap or touch joined."""
+
+    def add(done, s):
+        last = F.get(done, F.size(done) - 1)
+        apart = (F.size(done) == 0) | (s["start"] > last["end"])
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(apart, F.concat(done, F.array(s))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(FIELDS[1].dataType), add)
 
 
 def tokenised(data: np.ndarray, bounds: np.ndarray):
