@@ -13,6 +13,7 @@ from tripmesh.llm import (
     op08_repeats,
     op09_fingerprint,
     op10_pack,
+    op11_fill_middle,
 )
 
 QUERIES = {
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_repeats": op08_repeats.query,
     "op9_fingerprints": op09_fingerprint.query,
     "op10_packing": op10_pack.query,
+    "op11_fill_middle": op11_fill_middle.query,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": op04_line_dedup.SQL,
     "op6_licenses": op06_licenses.SQL,
+    "op11_fill_middle": op11_fill_middle.SQL,
 }
