@@ -14,6 +14,7 @@ from tripmesh.llm import (
     op09_fingerprint,
     op10_pack,
     op11_fill_middle,
+    op12_prefix_trie,
 )
 
 QUERIES = {
@@ -28,10 +29,12 @@ QUERIES = {
     "op9_fingerprints": op09_fingerprint.query,
     "op10_packing": op10_pack.query,
     "op11_fill_middle": op11_fill_middle.query,
+    "op12_prefix_trie": op12_prefix_trie.query,
 }
 
 ORACLE_SQL = {
     "op4_line_dedup": op04_line_dedup.SQL,
     "op6_licenses": op06_licenses.SQL,
     "op11_fill_middle": op11_fill_middle.SQL,
+    "op12_prefix_trie": op12_prefix_trie.SQL,
 }
