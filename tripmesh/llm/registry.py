@@ -15,6 +15,7 @@ from tripmesh.llm import (
     op10_pack,
     op11_fill_middle,
     op12_prefix_trie,
+    op13_url_filter,
 )
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_packing": op10_pack.query,
     "op11_fill_middle": op11_fill_middle.query,
     "op12_prefix_trie": op12_prefix_trie.query,
+    "op13_url_filter": op13_url_filter.query,
 }
 
 ORACLE_SQL = {
