@@ -99,3 +99,51 @@ def test_long_and_joined_chunks_are_compared():
         joined, glued = pool(["trash/moron/and-scum", "x" * at + filler[at:] + "moron" + filler])
         assert joined.tolist() == pytest.approx([1, 1]) and glued[0] > 0.03 and glued[1] < 0.01
     assert pool(["q" * 100_000, "日本語" * 30_000]).max() == 0
+
+
+def exact_value(word, mark):
+    return (subsequence_kernel(word, mark) / (subsequence_kernel(word, word) * subsequence_kernel(mark, mark)) ** 0.5) ** op.SHARPNESS
+
+
+def test_pooled_values_against_enumeration(monkeypatch):
+    r = random.Random(2)
+    marks = ["moron", "scum", "vermin", "éclat"]
+    words = ["".join(r.choices("morscuveinétlax", k=r.randint(1, 8))) for _ in range(120)] + ["moroon", "s-c-u-m", "vermin,"]
+    texts = [" ".join(r.choices(words, k=12)) for _ in range(20)]
+    monkeypatch.setattr(op, "CELLS", 50)
+    pool = op.Pool(marks)
+    got = np.concatenate([pool(texts[:7]), pool(texts[7:])])
+    for row, text in zip(got, texts):
+        for value, mark in zip(row, marks):
+            # words of more than twice a landmark's length are compared in pieces too
+            want = max(exact_value(op.word_of(w), mark) for w in text.split() if len(op.word_of(w)) >= 3)
+            assert want - op.FLOOR <= value and (value <= want + op.FLOOR or any(len(w) > 2 * len(mark) for w in text.split()))
+
+
+def test_machine_is_at_the_least_loss():
+    r = np.random.default_rng(3)
+    pooled, toxic = r.random((200, 2)), r.random(200) < 0.3
+    pooled[toxic, 0] += 0.5
+    model = op.trained(["moron", "vermin"], pooled, toxic)
+    own = op.Landmarks(["moron", "vermin"]).rows(["moron", "vermin"]).astype(float)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    root = vectors @ np.diag(values**-0.5) @ vectors.T
+    y, cost = np.where(toxic, 1, -1), np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(toxic)
+
+    def loss(w, bias):
+        return op.RIDGE * (w @ w) / 2 + (cost * np.maximum(0, 1 - y * (pooled @ root @ w + bias)) ** 2).sum() / 2
+
+    w = np.linalg.solve(root, model.weights)
+    least = loss(w, model.bias)
+    assert all(loss(w + d[:2], model.bias + d[2]) > least - 1e-6 for d in r.normal(0, 0.05, (300, 3)))
+
+
+def test_landmarks_are_chosen_among_what_is_left(monkeypatch):
+    monkeypatch.setattr(op, "FEWEST", 0)
+    toxic = np.arange(60) < 30
+    held = np.zeros((60, 4), bool)
+    held[:20, 0] = held[:19, 1] = held[20:30, 2] = True  # the second says nothing new
+    held[::2, 3] = True
+    assert op.chosen_words(held, toxic, 2.0, 4) == [0, 2]
+    monkeypatch.setattr(op, "FEWEST", 3)
+    assert op.chosen_words(held, toxic, 2.0, 4) == [0, 2, 1]
