@@ -40,3 +40,15 @@ def test_defined_cases(spark, tmp_path):
     kept = {r.doc_id: (bytes(r.kept), r.n_spans) for r in op.remove_repeats(wide).collect()}
     assert kept[4] == (long_[500:900].encode(), 0) and kept[22] == (b"short", 0)
     assert both(spark, documents(spark, []), tmp_path / "b") == ([], [])
+
+
+def test_crowded_suffixes_give_the_same(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    common = letters(160)
+    texts = [letters(r.randint(0, 150)) + common[r.randint(0, 20) :] + letters(r.randint(0, 150)) for _ in range(90)]
+    docs = documents(spark, texts).repartition(6)
+    want, theirs = both(spark, docs, tmp_path / "a")
+    assert want == theirs and sum(x[2] > 100 for x in want) > 80
+    monkeypatch.setattr(op, "CROWD", 5)
+    assert both(spark, docs, tmp_path / "b")[0] == theirs

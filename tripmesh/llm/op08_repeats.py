@@ -12,10 +12,11 @@ one trigger make a phrase: from the first one's first to the last one's last byt
   repetitive text nearly all are, and cost one row, not one for each byte.
 * Suffix order: the first occurrences of different phrases can share strings only
   if the bytes from the trigger to the end of the shortest string (36) agree.
-  Phrases are put in the order of that suffix; one whose suffix nothing else has,
-  or that is the first with it, is done. For what is left, at the ends of
-  repetitions and around common passages, the strings themselves are hashed and
-  grouped.
+  Phrases are put in the order of that suffix; one whose suffix no other phrase
+  has is done. What is left, at the ends of repetitions and around common passages, is
+  sent with its bytes to the others of its suffix, and the strings of each group are
+  compared there. Where more than CROWD phrases have one suffix, the
+  strings themselves are hashed and dealt out, so that no group is held in one task.
 
 Only equality with something earlier is asked, never what sorts before what, so
 suffixes are ordered by their hashes instead of their letters. Hashes that decide
@@ -23,8 +24,8 @@ on removal have 128 bits.
 
 Phrases are first reduced within a slice of a task, so a group of copies is one
 row per slice, then dealt out by suffix and compared with their neighbours in
-windows that spill. Documents are shuffled once, by id, and that shuffle is read
-for both the strings and the result.
+windows that spill; what a slice has decided already is dealt out by hash of its place. Documents are
+shuffled once, by id, and that shuffle is read for both the strings and the result.
 
 Defined cases: null texts are empty; texts shorter than ``length`` stay; rows with
 equal id and text are one place, so neither is later than the other; rows of
@@ -48,11 +49,12 @@ LENGTH = 100
 GRAM = 8
 REACH = 64  # places looked at for a trigger; REACH + GRAM <= LENGTH
 SUFFIX = LENGTH - REACH  # bytes from a trigger that all its strings have
+CROWD = 4096  # phrases of one suffix that are compared in one task
 FIRST_ID = -(1 << 63)
 
 # A phrase is four numbers, as there is one for 30 bytes of text. ``place`` holds, from the upper bits on, 20 bits
 # of the hash of the text, the trigger, and the distances to the first and the last string. Starts known to be covered
-# have a negative place, -1 - (tag and first start), the last start as phrase, and any suffix.
+# have a negative place, -1 - (tag and first start), the last start as phrase, and a hash of doc and place as suffix.
 _PHRASE = "suffix long, phrase long, doc long, place long"
 STEP_BITS, AT_BITS = 6, 31
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -115,12 +117,7 @@ def phrases_of(ids: np.ndarray, tags: np.ndarray, texts: pa.Array) -> list[np.nd
     phrase = mixed(hashes(base + low, base + high + LENGTH)[1].view(np.uint64) + (trigger - low).astype(np.uint64)).view(np.int64)
     doc, tag = ids[row], tags[row]
     place = (((tag << AT_BITS | trigger) << STEP_BITS | (trigger - low)) << STEP_BITS) | (high - low)
-    order = np.lexsort((place, doc, phrase, suffix))
-    same = (suffix[order][1:] == suffix[order][:-1]) & (phrase[order][1:] == phrase[order][:-1])
-    first = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
-    lead = np.repeat(order[first], np.diff(np.append(first, len(order))))
-    later = np.zeros(len(order), bool)
-    later[order] = (doc[order] != doc[lead]) | (place[order] != place[lead])
+    later = later_of(suffix, phrase, doc, place)
     if not len(later):
         return [suffix, phrase, doc, place]
     # Neighbouring covered phrases of one document become one row.
@@ -130,7 +127,8 @@ def phrases_of(ids: np.ndarray, tags: np.ndarray, texts: pa.Array) -> list[np.nd
     end = np.append(begin[1:], len(later)) - 1
     gone = later[begin]
     place = np.where(gone, -1 - (tag[begin] << AT_BITS | low[begin]), place[begin])
-    return [suffix[begin], np.where(gone, high[end], phrase[begin]), doc[begin], place]
+    spread = mixed((doc[begin] * 3 + place).view(np.uint64)).view(np.int64)
+    return [np.where(gone, spread, suffix[begin]), np.where(gone, high[end], phrase[begin]), doc[begin], place]
 
 
 # --- phrases across documents -----------------------------------------------------
@@ -158,7 +156,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def decided(phrases: DataFrame) -> DataFrame:
-    """(doc, tag, low, high, covered): starts that are covered, or open to be looked at one by one."""
+    """(doc, tag, low, high, suffix, crowded): starts that are covered (without suffix), or open to be looked at one by one."""
     place = F.struct("doc", "place")
     of_suffix = Window.partitionBy("suffix")
     of_phrase = Window.partitionBy("suffix", "phrase").orderBy("doc", "place")
@@ -167,6 +165,7 @@ def decided(phrases: DataFrame) -> DataFrame:
         "*",
         F.first(place).over(of_phrase).alias("first"),
         (F.min("phrase").over(of_suffix) != F.max("phrase").over(of_suffix)).alias("several"),
+        (F.count("*").over(of_suffix) > CROWD).alias("crowded"),
     )
     covered = known | (F.col("first") != place)
     bits = lambda c, by, n: F.shiftright(c, by).bitwiseAND(F.lit((1 << n) - 1))
@@ -174,10 +173,76 @@ def decided(phrases: DataFrame) -> DataFrame:
     trigger = bits(mark, 0, AT_BITS)
     low = F.when(known, trigger).otherwise(trigger - bits("place", STEP_BITS, STEP_BITS))
     high = F.when(known, F.col("phrase")).otherwise(low + bits("place", 0, STEP_BITS))
-    columns = [low.cast("int").alias("low"), high.cast("int").alias("high"), covered.alias("covered")]
+    columns = [low.cast("int").alias("low"), high.cast("int").alias("high"), F.when(~covered, F.col("suffix")).alias("suffix"), "crowded"]
     return compared.where(covered | F.col("several")).select("doc", F.shiftright(mark, AT_BITS).alias("tag"), *columns)
 
 
+def later_of(a: np.ndarray, b: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of some hashed strings start later than an equal one."""
+    order = np.lexsort((place, doc, b, a))
+    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    first = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
+    lead = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    later = np.zeros(len(order), bool)
+    later[order] = (doc[order] != doc[lead]) | (place[order] != place[lead])
+    return later
+
+
+def with_texts(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """(suffix, doc, place, bytes) of open phrases; place: tag and first start."""
+    lists = open_.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high", "suffix")).alias("spans"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag, text, spans = (batch.column(c) for c in ("doc", "tag", "text", "spans"))
+            for k in range(batch.num_rows):
+                whole, found, mark = text[k].as_py(), spans[k].as_py(), tag[k].as_py() << AT_BITS
+                places = pa.array([mark | s["low"] for s in found], pa.int64())
+                columns = [pa.array([s["suffix"] for s in found], pa.int64()), pa.array([doc[k].as_py()] * len(found), pa.int64()), places]
+                columns.append(pa.array([whole[s["low"] : s["high"] + LENGTH] for s in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["suffix", "doc", "place", "bytes"])
+
+    found = rows.join(lists, ["doc", "tag"], "left").where("spans IS NOT NULL")
+    return found.mapInArrow(cut, "suffix long, doc long, place long, bytes binary")
+
+
+def later_in_groups(phrases: DataFrame) -> DataFrame:
+    """(doc, tag, low, high): runs of strings of open phrases that start earlier, too, in a phrase of the same suffix."""
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, bounds = text_bytes(batch.column("bytes"))
+        strings = np.diff(bounds) - LENGTH + 1
+        row = np.repeat(np.arange(len(strings)), strings)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
+        start = bounds[row] + offset
+        doc, place = batch.column("doc").to_numpy()[row], batch.column("place").to_numpy()[row] + offset
+        later = later_of(*DoubleHashes(data)(start, start + LENGTH), doc, place)
+        begins = later.copy()
+        begins[1:] &= ~later[:-1] | (row[1:] != row[:-1])
+        ends = later.copy()
+        ends[:-1] &= ~later[1:] | (row[1:] != row[:-1])
+        at = place & ((1 << AT_BITS) - 1)
+        columns = [pa.array(doc[begins]), pa.array(place[begins] >> AT_BITS), pa.array(at[begins].astype(np.int32)), pa.array(at[ends].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "low", "high"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of equal suffixes, which stand together; a group is at most CROWD rows."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if table.num_rows:
+                suffix = table.column("suffix").to_numpy()
+                whole = int(np.flatnonzero(suffix != suffix[-1])[-1]) + 1 if suffix[0] != suffix[-1] else 0
+                if whole:
+                    yield from map(runs, table.slice(0, whole).combine_chunks().to_batches())
+                rest = table.slice(whole).combine_chunks().to_batches()
+                held = rest[0]
+        if held is not None:
+            yield runs(held)
+
+    return phrases.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(groups, "doc long, tag long, low int, high int")
+
+
 def later_strings(rows: DataFrame, open_: DataFrame) -> DataFrame:
     """(doc, tag, low, high): open strings that start earlier, too."""
     lists = open_.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
@@ -205,7 +270,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """Rows (doc, tag, text, spans) of all documents; spans: first and last starts of strings that go."""
     rows = keyed(docs)
     found = saved(decided(parsed(rows)), "phrases")
-    covered = found.where("covered").drop("covered").union(later_strings(rows, found.where("NOT covered").drop("covered")))
+    covered = found.where("suffix IS NULL").select("doc", "tag", "low", "high")
+    covered = covered.union(later_in_groups(with_texts(rows, found.where("suffix IS NOT NULL AND NOT crowded"))))
+    covered = covered.union(later_strings(rows, found.where("suffix IS NOT NULL AND crowded")))
     lists = covered.groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return rows.join(lists, ["doc", "tag"], "left")
 
