@@ -49,3 +49,21 @@ def test_unmeasured_lookups_give_the_same_totals(spark, small):
         return rows(rounded(damages.damages(sampling.final_record(x.minute_totals)), 4))
 
     assert last(other) == last(a)
+
+
+def test_plan_with_every_lookup_shuffled_leaves_the_optimizer(spark, small):
+    import time
+    from dataclasses import replace
+
+    from tripmesh.operators.emissions import Tables
+    from tripmesh.operators.lookup import Lookup
+    from tripmesh.plans.catalogue import analysis
+    from tripmesh.plans.compose import Analysis
+
+    a = analysis(spark, small)
+    loose = Tables(*[Lookup(t.df) for t in (a.tables.register, a.tables.curve, a.tables.airports)])
+    other = Analysis(a.raw, loose, replace(a.settings, day_bound=None, broadcast_rows=0))
+    start = time.time()
+    for df in (other.emissions, other.minute_totals, other.placed_emissions):
+        df._jdf.queryExecution().optimizedPlan()
+    assert time.time() - start < 30

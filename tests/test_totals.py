@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from helpers import SETTINGS, flights, minute, rounded, rows, tables
 from test_emissions import LEGS, REGISTER
-from tripmesh.operators import damages, emissions, sampling, snapshots, totals
+from tripmesh.operators import coverage, damages, emissions, sampling, snapshots, totals
 from tripmesh.plans.catalogue import analysis
 
 EDGES = [
@@ -92,6 +92,20 @@ def test_snapshots_keep_quiet_minutes(spark, small):
     assert per_time.filter("n <> m").count() == 0
 
 
+@pytest.mark.parametrize("stride, first_hour", [(4, 5), (7, 0), (1, 23), (1441, 3)])
+def test_times_made_from_two_numbers_are_the_sampled_ones(spark, stride, first_hour):
+    from dataclasses import replace
+
+    from tripmesh.operators import panel
+
+    settings = replace(SETTINGS, stride=stride, first_hour=first_hour)
+    legs = [("a1", 1, 1439, "YMML", "YSSY"), ("a2", 1430, 1440, "YSSY", "YMML"), ("a3", 301.5, 302.5, "YMML", "YSSY"), ("a4", 700, 700, "YMML", "YSSY")]
+    f = flights(spark, *legs, settings=settings)
+    times = sampling.sampled_times(panel.time_grid(f.select("day").distinct(), settings), settings).select("day", "t_s")
+    want = f.where("to_date(dep_local) = day").join(times, "day").where("t_s BETWEEN dep_s AND arr_s").select("icao24", "t_s")
+    assert rows(panel.expand_airborne(f, times, settings), "icao24", "t_s") == rows(want)
+
+
 def test_damages(spark):
     df = spark.sql("SELECT 2D AS co2, 3D AS co, CAST(NULL AS DOUBLE) AS sox, 1D AS nox, 1D AS hc, 1D AS pm_total")
     rates = damages.damage_rates()
@@ -115,6 +129,14 @@ def test_pivot_takes_the_dates_of_the_data(spark):
     assert len(wide[0]) == 5
 
 
+def test_pivot_cells_over_two_other_months(spark):
+    cells = [("2023-11-30", 8, 5), ("2023-12-01", 9, 2), ("2023-12-01", 8, 1)]
+    hourly = spark.createDataFrame(cells, "day string, hour int, flights long").withColumn("day", F.to_date("day"))
+    got = rows(coverage.coverage_cells(hourly), "day", "hour", "flights")
+    assert got == [("2023-11-30", 8, 5), ("2023-11-30", 9, None), ("2023-12-01", 8, 1), ("2023-12-01", 9, 2)]
+    assert coverage.coverage_cells(hourly.limit(0)).collect() == []
+
+
 def test_tasks_of_an_expansion_are_bounded_by_the_cluster():
     from tripmesh.config import Settings
     from tripmesh.plans.compose import panel_tasks

@@ -51,9 +51,10 @@ class Settings:
     bracket_phase: str | None = None
     # True keeps one type, one aircraft id and one LTO row per flight instead of fanning out.
     dedupe: bool = False
-    # Largest row count a lookup may be broadcast at; larger or unmeasured ones are shuffled.
-    broadcast_rows: int = 200_000
-    # Buckets a shuffled lookup join spreads each key over.
+    # Largest bytes and rows a lookup may be broadcast at; larger or unmeasured ones are shuffled.
+    broadcast_bytes: int = 64 << 20
+    broadcast_rows: int = 4_000_000
+    # Buckets a shuffled lookup join spreads each hot key over.
     salts: int = 32
     # Flights one task expands to a day of minutes each (here 72 million rows).
     flights_per_task: int = 50_000

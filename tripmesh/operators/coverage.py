@@ -31,6 +31,18 @@ def coverage_pivot(hourly: DataFrame, days: list[str] | None = None) -> DataFram
     return hourly.groupBy("hour").pivot("day", days).agg(F.first("flights"))
 
 
+def coverage_cells(hourly: DataFrame) -> DataFrame:
+    """The pivot as rows: ``flights`` of each hour and each date of the data, null where there are none.
+
+    Its columns are the dates found, so the shape is the same whatever they are.
+    """
+    wide = coverage_pivot(hourly.withColumn("day", F.col("day").cast("string")))
+    days = [c for c in wide.columns if c != "hour"]
+    if not days:
+        return wide.select("hour", F.lit(None).cast("string").alias("day"), F.lit(None).cast("long").alias("flights"))
+    return wide.unpivot(["hour"], days, "day", "flights")
+
+
 def interior_dates(hourly: DataFrame) -> DataFrame:
     """Date and hour counts strictly between the first and the last date.
 

@@ -66,10 +66,8 @@ def timeline_expand(flights: DataFrame, settings: Settings) -> DataFrame:
     return at_times(with_grid(spread(flights, settings), settings), times)
 
 
-def expand_at(
-    flights: DataFrame, times: DataFrame, settings: Settings, airborne: bool = False, few: bool = False
-) -> DataFrame:
-    """Each flight at the given times (``day``, ``t_s``) of its arrival day, or at those while in the air.
+def expand_at(flights: DataFrame, times: DataFrame, settings: Settings, few: bool = False) -> DataFrame:
+    """Each flight at the given times (``day``, ``t_s``) of its arrival day.
 
     The times of a day become one array, at most a grid long, so only wanted
     minutes are ever made. With ``few`` times a day the flights stay where they are.
@@ -77,10 +75,25 @@ def expand_at(
     per = times.groupBy("day").agg(F.collect_list("t_s").alias("times"))
     spread_ = flights if few else spread(flights, settings)
     joined = attach(spread_, per_day(per, settings), ["day"], settings, how="inner")
-    wanted = F.col("times")
-    if airborne:
-        wanted = F.filter("times", lambda t: t.between(F.col("dep_s"), F.col("arr_s")))
-    return at_times(with_grid(joined, settings), wanted).drop("times")
+    return at_times(with_grid(joined, settings), F.col("times")).drop("times")
+
+
+def expand_airborne(flights: DataFrame, times: DataFrame, settings: Settings) -> DataFrame:
+    """Each flight at those sampled times of its arrival day at which it is in the air.
+
+    Sampled times (see ``sampled_times``) are ``stride`` grid steps apart from the first one of a day, with the
+    last one added. The first and the last say all, so a flight makes its own
+    times from two numbers and no array of the day's times goes through the join.
+    """
+    per = times.groupBy("day").agg(F.min("t_s").alias("first_t"), F.max("t_s").alias("last_t"))
+    joined = attach(spread(flights, settings), per_day(per, settings), ["day"], settings, how="inner")
+    apart = settings.step_s * settings.stride
+    low = f"ceil((greatest(dep_s, first_t) - first_t) / {apart})"
+    high = f"floor((least(arr_s, last_t) - first_t) / {apart})"
+    regular = f"if({low} <= {high}, sequence(first_t + {low} * {apart}, first_t + {high} * {apart}, {apart}L), cast(array() AS array<bigint>))"
+    beside = f"last_t BETWEEN dep_s AND arr_s AND (last_t - first_t) % {apart} <> 0"
+    wanted = F.expr(f"if({beside}, array_append({regular}, last_t), {regular})")
+    return at_times(with_grid(joined, settings), wanted).drop("first_t", "last_t")
 
 
 def flight_states(panel: DataFrame, settings: Settings) -> DataFrame:

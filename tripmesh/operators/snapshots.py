@@ -15,6 +15,7 @@ from tripmesh.operators.lookup import attach, per_day
 from tripmesh.operators.panel import (
     PATH_COLUMNS,
     POSITION_COLUMNS,
+    expand_airborne,
     expand_at,
     flight_states,
     positions,
@@ -38,7 +39,7 @@ def minute_snapshots(flights: DataFrame, totals: DataFrame, times: DataFrame, se
     """
     plane = flights.select("day", "icao24", "dep_s", "arr_s", "dep_airport", "arr_airport", *PATH_COLUMNS)
     side = per_day(totals, settings, rows_per_day=samples_per_day(settings))
-    busy = expand_at(plane, times, settings, airborne=True)
+    busy = expand_airborne(plane, times, settings)
     placed = project_positions(positions(flight_states(busy, settings)))
     joined = attach(placed, side, ["day", "t_s"], settings, how="inner")
     rows = joined.select("icao24", "dep_s", "x", "y", "bearing", *totals.columns)

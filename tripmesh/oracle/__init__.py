@@ -284,8 +284,10 @@ SELECTS = {
         GROUP BY window_start, dep_airport""",
     "flights_clean": f"SELECT {CLEAN_COLUMNS} FROM clean",
     "hourly_coverage": f"SELECT {DAY}, CAST(hour AS INT) AS hour, flights FROM midday",
-    "coverage_pivot": f"""
-        PIVOT (SELECT {DAY}, CAST(hour AS INT) AS hour, flights FROM midday) ON day USING max(flights) GROUP BY hour""",
+    "coverage_pivot": """
+        SELECT CAST(h.hour AS INT) AS hour, CAST(d.day AS VARCHAR) AS day, m.flights
+        FROM (SELECT DISTINCT hour FROM midday) h CROSS JOIN (SELECT DISTINCT day FROM midday) d
+        LEFT JOIN midday m ON m.hour = h.hour AND m.day = d.day""",
     "interior_dates": f"SELECT {DAY}, CAST(hour AS INT) AS hour, flights FROM interior",
     "date_completeness": "SELECT CAST(day AS VARCHAR) AS day, bool_and(flights IS NOT NULL) AS complete"
     " FROM interior GROUP BY day",

@@ -87,7 +87,7 @@ def open_inputs(
     """Read landed files and measure what may be broadcast."""
     raw = read_flights(spark, flights)
     directory = read_airports(spark, airports)
-    tables = measured_tables(read_aircraft_map(spark, register), read_curve(spark, curve), directory)
+    tables = measured_tables(read_aircraft_map(spark, register), read_curve(spark, curve), directory, raw, settings)
     return raw, tables, measured_settings(raw, settings)
 
 

@@ -67,7 +67,7 @@ def analysis(spark: SparkSession, sf_dir: str, one_day: bool = False) -> Analysi
         events = fixtures.events(spark, sf_dir)
         raw = fixtures.flights_raw(events)
         tables = measured_tables(
-            fixtures.aircraft_map(events), fixtures.emission_curve(spark), fixtures.airports(spark)
+            fixtures.aircraft_map(events), fixtures.emission_curve(spark), fixtures.airports(spark), raw, Settings()
         )
         settings = measured_settings(raw, Settings())
         opened = {one: Analysis(raw, tables, settings, one) for one in (False, True)}
@@ -172,9 +172,7 @@ def hourly_coverage(spark, sf_dir):
 @query
 def coverage_pivot(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    hourly = coverage.hourly_coverage(a.flights, a.settings)
-    hourly = hourly.withColumn("day", F.col("day").cast("string"))
-    return coverage.coverage_pivot(hourly)
+    return coverage.coverage_cells(coverage.hourly_coverage(a.flights, a.settings))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tripmesh.config import Settings
 from tripmesh.operators import clean, coverage, emissions, geometry, panel, sampling, totals
 from tripmesh.operators.emissions import Tables
-from tripmesh.operators.lookup import Lookup
+from tripmesh.operators.lookup import Lookup, attach
 
 
 def measured_settings(raw: DataFrame, settings: Settings) -> Settings:
@@ -36,8 +36,14 @@ def panel_tasks(flights: int, cores: int, settings: Settings) -> int:
     return min(max(cores, flights // settings.flights_per_task + 1), cores * settings.tasks_per_core)
 
 
-def measured_tables(register: DataFrame, curve: DataFrame, airports: DataFrame) -> Tables:
-    return Tables(Lookup.measured(register), Lookup.measured(curve), Lookup.measured(airports))
+def measured_tables(
+    register: DataFrame, curve: DataFrame, airports: DataFrame, raw: DataFrame | None = None, settings: Settings | None = None
+) -> Tables:
+    """Lookups with their sizes; a register too large to broadcast also with the vehicles that fly most of ``raw``."""
+    vehicles = Lookup.measured(register)
+    if raw is not None:
+        vehicles = vehicles.with_hot_keys(raw, "icao24", settings or Settings())
+    return Tables(vehicles, Lookup.measured(curve), Lookup.measured(airports))
 
 
 @dataclass(frozen=True)
@@ -83,6 +89,15 @@ class Analysis:
         """Emissions of flights whose airports the directory knows: totals and positions count the same ones."""
         return self.locate(self.emissions)
 
+    @cached_property
+    def known_emissions(self) -> DataFrame:
+        """The same flights without coordinates: totals need none, and a semi join leaves the lookups prunable."""
+        known = self.emissions
+        for end in ("dep_airport", "arr_airport"):
+            side = self.tables.airports.derive(self.tables.airports.df.select(F.col("airport").alias(end)))
+            known = attach(known, side, [end], self.settings, how="left_semi")
+        return known
+
     @cached_property
     def planes(self) -> DataFrame:
         """Flights, fanned out as in ``emissions``, with their paths: positions need no masses."""
@@ -95,7 +110,7 @@ class Analysis:
 
     @cached_property
     def minute_totals(self) -> DataFrame:
-        return totals.emissions_timeline(self.placed_emissions, self.passengers, self.settings)
+        return totals.emissions_timeline(self.known_emissions, self.passengers, self.settings)
 
     @cached_property
     def sampled_totals(self) -> DataFrame:
