@@ -83,3 +83,34 @@ def test_rule_against_plain_statement(sizes):
             gaps[q] = 12
         assert o == 12 - gaps[q]
         gaps[q] -= s
+
+
+def test_latin_letters_alone_and_before_stops():
+    words, tok = op.WordIds(op.default_tokenizer()), Tokenizer.from_file(op.default_tokenizer())
+    forms = [f.format(chr(c)) for c in range(0x80, 0x250) for f in ("{}", "{},", "{}.", "a{},", "{}b.", "{0}{0}", "x{}.y")]
+    got = words.encode([f"k {t} k" for t in forms])
+    assert got == [np.array(tok.encode(f"k {t} k", add_special_tokens=False).ids, "<u4").tobytes() for t in forms]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aİŻﬁſŉΣς,.'1 ​­日é<|>"), max_size=8), max_size=6))
+def test_texts_of_odd_letters_against_the_tokenizer(parts):
+    text, words = " ".join(parts), op.word_ids(op.default_tokenizer())
+    assert words.encode([text]) == [np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_copies_of_a_long_text_go_to_all_groups(spark, tmp_path):
+    pieces = op.tokenised(documents(spark, ["many words of one text " * 500] * 1000), op.default_tokenizer(), 64, ["doc_id"], keep_ids=False)
+    pieces.write.parquet(str(tmp_path / "pieces"))
+    stored = spark.read.parquet(str(tmp_path / "pieces"))
+    n, groups = stored.count(), 20
+    packed = op.pack(stored, 64, group_rows=n // groups)
+    sizes = [r["count"] for r in packed.selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()]
+    assert sum(sizes) == n and len(sizes) == groups and max(sizes) < 1.3 * n / groups
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, ["a b", None]).selectExpr("doc_id", "text", "'kept' AS source", "7 AS piece", "8 AS deal", "9 AS pack_group", "1 AS Length")
+    rows = op.pack_documents(docs, keep_ids=False)
+    assert rows.columns == ["doc_id", "text", "source", "deal", "pack_group", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert {(r.piece, r.deal, r.pack_group) for r in rows.collect()} == {(0, 8, 9)}

@@ -75,8 +75,24 @@ def annotate(
 
 
 def plain(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """The carried columns of an annotated frame, followed by the given ones."""
-    return df.select(f"{ROW}.*", *columns)
+    """The carried columns of an annotated frame, followed by the given ones.
+
+    A carried column with the name of a given one, in any case, gives way to it.
+    """
+    taken = {c.lower() for c in df.select(*columns).columns}
+    carried = [c for c in df.schema[ROW].dataType.names if c.lower() not in taken]
+    return df.select(*[F.col(f"{ROW}.`{c}`") for c in carried], *columns)
+
+
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a worker process keeps from task to task: the last thing asked for, so the stages of a pipeline do not pile up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmesh.llm.common import annotate, id_remainder, plain, read_table, saved
+from tripmesh.llm.common import annotate, id_remainder, kept, plain, read_table, saved
 
 MAX_LABELS = 12_000
 LANDMARKS = 128
@@ -238,10 +238,9 @@ class Landmarks:
                         np.maximum.at(out, place, near)
 
 
-@lru_cache(maxsize=1)
 def pool_of(landmarks: tuple[str, ...]) -> Pool:
-    """One memo for all tasks of a worker process."""
-    return Pool(list(landmarks))
+    """One memo for the tasks of a worker process."""
+    return kept(("kernel rows", landmarks), lambda: Pool(list(landmarks)))
 
 
 class Pool:

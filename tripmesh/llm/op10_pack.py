@@ -17,14 +17,15 @@ encoded whole.
 
 Defined cases: null text is empty, and an empty text is one piece, the end id
 alone; repeated rows are packed once each; null ids are kept; an empty table
-gives no rows. Text of any length is tokenised whole.
+gives no rows. Text of any length is tokenised whole. Other columns are carried, whatever
+their names; one named like a result column gives way to it.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmesh.llm.common import ROW, read_table, saved, slices
+from tripmesh.llm.common import ROW, kept, plain, read_table, saved, slices
 
 LENGTH = 4096
 END_ID = 1
@@ -52,10 +53,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One memo for all tasks of a worker process."""
-    return WordIds(path)
+    """One memo for the tasks of a worker process."""
+    return kept(("word ids", path), lambda: WordIds(path))
 
 
 class WordIds:
@@ -85,8 +85,9 @@ class WordIds:
                 missing.update([c for c, i in zip(chunks, ids) if i is None])
             rows.append((chunks, ids))
         extra = self._encode_chunks(list(missing))
-        if len(self.memo) < self.limit:
-            self.memo.update(extra)
+        if len(self.memo) + len(extra) > self.limit:
+            self.memo = {}
+        self.memo.update(extra if len(extra) <= self.limit else {})
         out = []
         for text, (chunks, ids) in zip(texts, rows):
             if chunks is None:
@@ -100,6 +101,8 @@ class WordIds:
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks. Those of a Latin word, with a stop or comma or without, share the ids of the word."""
         parts = {c: (c, "") if c.isalpha() else (c[:-1], c[-1]) for c in chunks if max(c) < _LATIN and (c.isalpha() or (c[:-1].isalpha() and c[-1] in ".,"))}
+        # Lower case may add a mark to a letter, and that would join what follows.
+        parts = {c: p for c, p in parts.items() if unicodedata.normalize("NFC", p[0]).lower().isalpha()}
         words = list({w for w, _ in parts.values() if w not in self.memo})
         ids_of = {}
         for k in range(0, len(words), 20_000):
@@ -121,10 +124,7 @@ class WordIds:
 def tokenised(
     docs: DataFrame, tokenizer: str, length: int = LENGTH, carry: list[str] | None = None, keep_ids: bool = True
 ) -> DataFrame:
-    """One row per piece: the carried columns, piece, start, length, ids_crc32 and, if wanted, ids.
-
-    ``deal`` is a random number that later decides on the group of the piece.
-    """
+    """One row per piece: the carried columns in ``common.ROW``, piece, start, length, ids_crc32 and, if wanted, ids."""
     carry = docs.columns if carry is None else carry
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias(ROW), F.col("text").cast("binary").alias("text"))
     fields = [
@@ -132,7 +132,6 @@ def tokenised(
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
-        T.StructField("deal", T.LongType()),
     ]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
@@ -152,9 +151,7 @@ def tokenised(
                         part = ids[at : at + 4 * length]
                         source.append(lo + k)
                         out.append((piece, at // 4, len(part) // 4, zlib.crc32(part), part))
-                deal = np.random.default_rng([x[3] for x in out[:8]]).integers(0, 1 << 40, len(out))
                 columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                columns.append(pa.array(deal, pa.int64()))
                 if keep_ids:
                     offsets = np.concatenate([[0], np.cumsum([x[2] for x in out])]).astype(np.int32)
                     flat = np.frombuffer(b"".join(x[4] for x in out), "<i4")
@@ -165,19 +162,21 @@ def tokenised(
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pieces, which must be a stored table, with ``sequence_id`` and ``offset``."""
+    """Pieces, which must be a stored table, with ``sequence_id`` and ``offset``.
+
+    A piece is dealt by a hash of its checksum and its row in that table: copies go
+    to all groups, and a task that runs again deals them alike.
+    """
     groups = max(1, round(pieces.count() / group_rows))
-    schema = T.StructType(
-        [f for f in pieces.schema if f.name != "deal"]
-        + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    )
+    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def one_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "deal"], ascending=[False, True], kind="stable")
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), length)
         return rows.drop(columns=["deal", "pack_group"]).assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.col("deal"), F.lit(groups)))
+    dealt = pieces.withColumn("deal", F.xxhash64("ids_crc32", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("pack_group", F.pmod(F.col("deal"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(one_group, schema)
 
 
@@ -210,10 +209,10 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 def pack_documents(
     docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, carry: list[str] | None = None, keep_ids: bool = True
 ) -> DataFrame:
-    """All pieces of the documents with their places; carried columns come first."""
+    """All pieces of the documents with their places; carried columns come first, but for those named like a result."""
     pieces = saved(tokenised(docs, tokenizer or default_tokenizer(), length, carry, keep_ids), "pieces")
     placed = pack(pieces, length)
-    return placed.select(f"{ROW}.*", *[c for c in placed.columns if c != ROW])
+    return plain(placed, *[c for c in placed.columns if c != ROW])
 
 
 def sequences(placed: DataFrame) -> DataFrame:
