@@ -118,3 +118,53 @@ def test_register_and_curve_files(spark, small, tmp_path):
     events = fixtures.events(spark, small)
     assert rows(read_aircraft_map(spark, paths["register"])) == rows(fixtures.aircraft_map(events))
     assert rows(rounded(read_curve(spark, paths["curve"]))) == rows(rounded(fixtures.emission_curve(spark)))
+
+
+def test_landing_twice_changes_nothing_and_bad_lines_are_counted(spark, tmp_path):
+    from tripmesh.config import Settings
+    from tripmesh.sources import landing
+
+    lines = [
+        '{"icao24": "a", "firstSeen": 1709557260, "lastSeen": 1709560860, "estArrivalAirport": "YSSY", "callsign": "QF1"}',
+        '{"icao24": "a", "firstSeen": 1709557260, "lastSeen": 1709560860, "estArrivalAirport": "YSSY", "callsign": "QF1"}',
+        '{"icao24": "b", "firstSeen": 1709657260, "lastSeen": 1709660860}',
+        '{"icao24": "c", "firstSeen": 1709657260}',
+        '{"icao24": "d", "firstSeen": "soon"}',
+        "no record",
+    ]
+    path, rejects = str(tmp_path / "days"), str(tmp_path / "rejects")
+    (tmp_path / "one.json").write_text("\n".join(lines))
+    (tmp_path / "two.json").write_text("\n".join([lines[2], lines[0].replace("QF1", "QF2")]))
+    (tmp_path / "none.json").write_text("")
+
+    def landed():
+        return rows(landing.read_landed(spark, path), "icao24", "callsign", "lastSeen", "arrival_day")
+
+    def again(name):
+        return landing.land(spark, str(tmp_path / name), path, rejects, Settings())
+
+    assert again("one.json") == landing.Landed(rejected=2, fresh=3, days=3)
+    first = landed()
+    assert [r[0] for r in first] == ["a", "b", "c"] and first[2][3] is None
+    assert again("one.json") == landing.Landed(rejected=2, fresh=0, days=3)
+    assert landed() == first
+    assert again("two.json") == landing.Landed(rejected=0, fresh=1, days=2)
+    assert len(landed()) == 4 and set(first) < set(landed())
+    assert again("none.json") == landing.Landed(0, 0, 0)
+    days = [d for _, _, _, d in first[:1]]
+    plan = landing.on_days(landing.read_landed(spark, path), days)._jdf.queryExecution().executedPlan().toString()
+    assert "arrival_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_one_day_reads_the_partition_of_that_day(spark, small, tmp_path):
+    from tripmesh.plans.catalogue import analysis
+    from tripmesh.plans.compose import Analysis
+    from tripmesh.sources import landing
+
+    a, path = analysis(spark, small), str(tmp_path / "days")
+    landing.with_day(a.raw.selectExpr("*", *[f"cast(null AS {f.dataType.simpleString()}) AS {f.name}" for f in landing.RECORD.fields[5:]]), a.settings).write.partitionBy("arrival_day").parquet(path)
+    landed = Analysis(landing.read_landed(spark, path), a.tables, a.settings, one_day=True)
+    assert rows(landed.flights) == rows(analysis(spark, small, one_day=True).flights)
+    plan = landed.flights._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "arrival_day" in line.split("PartitionFilters")[1].split("]")[0]]
+    assert filters and "lastSeen" in plan.split("PushedFilters")[1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmesh.config import Settings
-from tripmesh.functions.time import local_wall
+from tripmesh.functions.time import day_start, local_wall
 
 
 def completed(raw: DataFrame) -> DataFrame:
@@ -41,6 +41,21 @@ def flights_clean(raw: DataFrame, settings: Settings) -> DataFrame:
     return with_clock(completed(raw).distinct(), settings)
 
 
+def landed_on(raw: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
+    """Raw records that arrive on the date held by the one-row frame ``chosen``.
+
+    The date becomes bounds on ``lastSeen``, and a partition value where records are landed by
+    ``arrival_day``: scalar subqueries, which are known when the scan lists its files and row groups.
+    """
+    start, end = (day_start(d, settings.timezone) for d in (F.col("day"), F.date_add("day", 1)))
+    bounds = chosen.select("day", start.alias("start_s"), end.alias("end_s"))
+    first, behind = (bounds.select(c).scalar() for c in ("start_s", "end_s"))
+    wanted = (F.col("lastSeen") >= first) & (F.col("lastSeen") < behind)
+    if "arrival_day" in raw.columns:
+        wanted = (F.col("arrival_day") == bounds.select("day").scalar()) & wanted
+    return raw.filter(wanted)
+
+
 def arrivals(raw: DataFrame, settings: Settings) -> DataFrame:
     """Completed flights with clocks but with their copies: enough for min, max and dates."""
     return with_clock(completed(raw), settings)

@@ -293,6 +293,9 @@ SELECTS = {
     " FROM interior GROUP BY day",
     "choose_date": f"SELECT {DAY} FROM chosen",
     "flights_on_date": f"SELECT {CLEAN_COLUMNS} FROM clean {ON_CHOSEN}",
+    "flights_on_date_landed": f"SELECT {CLEAN_COLUMNS} FROM clean {ON_CHOSEN}",
+    "landing_incremental": f"""
+        SELECT DISTINCT CAST(CAST({local('"lastSeen"')} AS DATE) AS VARCHAR) AS arrival_day, * FROM raw""",
     "time_extent": """
         SELECT min(arr_s) AS arr_min_s, max(arr_s) AS arr_max_s, min(dep_s) AS dep_min_s, max(dep_s) AS dep_max_s,
             CAST(min(arr_local) AS VARCHAR) AS arr_min, CAST(max(arr_local) AS VARCHAR) AS arr_max,

@@ -28,6 +28,7 @@ from tripmesh.operators import (
 )
 from tripmesh.plans import fixtures
 from tripmesh.plans.compose import Analysis, measured_settings, measured_tables
+from tripmesh.schemas import FLIGHTS_RAW
 from tripmesh.session import scratch_path
 from tripmesh.sinks import write_csv, write_json, write_sorted_parquet
 from tripmesh.sources import (
@@ -38,6 +39,7 @@ from tripmesh.sources import (
     read_flights_json,
     read_results,
 )
+from tripmesh.sources.landing import land, read_landed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,6 +112,31 @@ def landing_json_scan(spark, sf_dir):
     return read_flights_json(spark, path)
 
 
+def _landed(spark, sf_dir) -> str:
+    """The records landed in two batches that overlap by the flights of every second vehicle, and once more whole."""
+    base, settings = scratch_path(spark, "landed"), analysis(spark, sf_dir).settings
+    raw = analysis(spark, sf_dir).raw
+    second = F.pmod(F.xxhash64("icao24"), F.lit(2)) == 0
+    for k, part in enumerate((raw.where(second), raw.where(~second | (F.col("firstSeen") % 2 == 0)), raw)):
+        write_json(part, f"{base}/batch-{k}")
+        land(spark, f"{base}/batch-{k}", f"{base}/days", f"{base}/rejects-{k}", settings)
+    return f"{base}/days"
+
+
+@query
+def landing_incremental(spark, sf_dir):
+    """Overlapping batches leave each record once, in the partition of its day."""
+    landed = read_landed(spark, _landed(spark, sf_dir))
+    return shown(landed.select("arrival_day", *FLIGHTS_RAW.fieldNames()))
+
+
+@query
+def flights_on_date_landed(spark, sf_dir):
+    """The chosen date out of the landed table: one partition is read."""
+    a = analysis(spark, sf_dir)
+    return shown(Analysis(read_landed(spark, _landed(spark, sf_dir)), a.tables, a.settings, one_day=True).flights)
+
+
 @query
 def aircraft_map_scan(spark, sf_dir):
     path = scratch_path(spark, "register")

@@ -65,8 +65,8 @@ class Analysis:
     @cached_property
     def flights(self) -> DataFrame:
         """Clean flights, of all days or of the chosen date."""
-        flights = clean.flights_clean(self.raw, self.settings)
-        return coverage.flights_on_date(flights, self.chosen_date) if self.one_day else flights
+        raw = clean.landed_on(self.raw, self.chosen_date, self.settings) if self.one_day else self.raw
+        return clean.flights_clean(raw, self.settings)
 
     @cached_property
     def route_flights(self) -> DataFrame:

@@ -16,6 +16,20 @@ FLIGHTS_RAW = T.StructType(
     ]
 )
 
+# All fields of a departure record.
+RECORD = T.StructType(
+    [
+        *FLIGHTS_RAW.fields,
+        T.StructField("callsign", T.StringType()),
+        T.StructField("estDepartureAirportHorizDistance", T.LongType()),
+        T.StructField("estDepartureAirportVertDistance", T.LongType()),
+        T.StructField("estArrivalAirportHorizDistance", T.LongType()),
+        T.StructField("estArrivalAirportVertDistance", T.LongType()),
+        T.StructField("departureAirportCandidatesCount", T.LongType()),
+        T.StructField("arrivalAirportCandidatesCount", T.LongType()),
+    ]
+)
+
 AIRPORT_DOCUMENT = T.MapType(
     T.StringType(),
     T.StructType(
