@@ -128,3 +128,30 @@ def test_bucketed_join_spreads_a_hot_key(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_register_is_gated_by_bytes_and_only_hot_vehicles_are_spread(spark):
+    from dataclasses import replace
+
+    from tripmesh.operators import emissions
+    from tripmesh.operators.lookup import Lookup
+
+    register = spark.range(600_000).selectExpr("concat('v', id) AS icao24", "concat('t', id % 40) AS typecode")
+    facts = spark.range(4000).selectExpr("if(id % 3 = 0, 'v7', if(id % 50 = 1, null, concat('v', id * 151))) AS icao24", "id AS dep_s")
+    small = Lookup.measured(register)
+    assert small.fits(SETTINGS) and small.with_hot_keys(facts, "icao24", SETTINGS).hot is None
+    large = replace(SETTINGS, broadcast_bytes=1 << 20)
+    measured = small.with_hot_keys(facts, "icao24", large)
+    assert measured.hot == ("v7",)
+    plain = replace(measured, hot=())
+
+    def joined(lookup, settings):
+        return emissions.aircraft_type_join(facts, lookup, settings)
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    want = sorted(map(str, joined(small, SETTINGS).collect()))
+    assert "strategy=broadcast" in plan(joined(small, SETTINGS))
+    assert sorted(map(str, joined(measured, large).collect())) == want and "xxhash64" in plan(joined(measured, large))
+    assert sorted(map(str, joined(plain, large).collect())) == want and "xxhash64" not in plan(joined(plain, large))

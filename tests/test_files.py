@@ -111,6 +111,10 @@ def test_batch_job(spark, small, tmp_path):
     assert spark.read.json(f"{out}/rates").count() == 3
     assert read(f"{out}/peaks").count() == 29
     assert read(f"{out}/passengers").first().passenger_flights == 7
+    whole = analysis(spark, small)
+    assert rows(read(f"{out}/audit/hours")) == rows(coverage.coverage_cells(coverage.hourly_coverage(whole.flights, whole.settings)))
+    assert rows(read(f"{out}/audit/routes")) == rows(clean.route_list(whole.route_flights))
+    assert read(f"{out}/audit/extent").count() == 1
 
 
 def test_register_and_curve_files(spark, small, tmp_path):

@@ -1,7 +1,7 @@
 """The whole batch job: landed records in, result tables out.
 
     python -m tripmesh.plans.batch --flights ... --register ... --curve ...
-        --airports ... --out ... [--all-days]
+        --airports ... --out ... [--all-days] [--records new.json]
 
 Flights with emissions are written once and read back for every result. That
 table cuts the lineage: a lost executor costs its own tasks, not the joins.
@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmesh.config import Settings
-from tripmesh.operators import damages, panel, sampling, snapshots, totals
+from tripmesh.operators import clean, coverage, damages, panel, sampling, snapshots, totals
 from tripmesh.operators.emissions import Tables
 from tripmesh.plans.compose import Analysis, measured_settings, measured_tables, panel_tasks
 from tripmesh.session import build
 from tripmesh.sinks import write_json, write_sorted_parquet
 from tripmesh.sources import read_aircraft_map, read_airports, read_curve, read_flights, read_results
+from tripmesh.sources.landing import land
 
 
 def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days: bool = False) -> None:
@@ -37,9 +38,11 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     rates/      damage rates as JSON records
     snapshots/  what a picture of each sampled minute shows
     peaks/      positions at the busiest sampled minute of each day
+    audit/      what the landed records cover: arrivals per hour and date, extents, routes, first departures
     """
     spark = raw.sparkSession
     analysis = Analysis(raw, tables, settings, one_day=not all_days)
+    audit(raw, settings, f"{out}/audit")
 
     write_sorted_parquet(
         analysis.placed_emissions,
@@ -81,6 +84,17 @@ def run(raw: DataFrame, tables: Tables, settings: Settings, out: str, all_days:
     peaks.write.parquet(f"{out}/peaks")
 
 
+def audit(raw: DataFrame, settings: Settings, out: str) -> None:
+    """Coverage of everything landed, whatever days the run is about."""
+    flights = clean.flights_clean(raw, settings)
+    routes = clean.route_filter(flights, settings)
+    coverage.coverage_cells(coverage.hourly_coverage(flights, settings)).write.parquet(f"{out}/hours")
+    coverage.time_extent(flights).write.parquet(f"{out}/extent")
+    clean.route_list(routes).write.parquet(f"{out}/routes")
+    coverage.first_departures(routes).write.parquet(f"{out}/first_departures")
+    coverage.overlap_windows(flights, settings).write.parquet(f"{out}/windows")
+
+
 def open_inputs(
     spark: SparkSession, flights: str, register: str, curve: str, airports: str, settings: Settings
 ) -> tuple[DataFrame, Tables, Settings]:
@@ -93,20 +107,38 @@ def open_inputs(
 
 def main() -> None:
     parser = argparse.ArgumentParser()
+    parser.add_argument("--records", help="JSON records to land under --flights by arrival day before the run")
+    parser.add_argument("--rejects", help="folder for lines of --records that are no records")
     for name in ("flights", "register", "curve", "airports", "out"):
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--all-days", action="store_true")
     parser.add_argument("--airport-ids", nargs="+", help="airports of interest, default as in Settings")
     parser.add_argument("--passenger-ids", nargs="+", help="airports the passenger figure counts")
     parser.add_argument("--timezone", default=Settings.timezone)
+    # Names of settings and how they are read; the default stands in Settings.
+    for name, kind in (("taxi_s", int), ("stride", int), ("first_hour", int), ("jitter_end", float), ("jitter_mid", float), ("bracket_phase", str)):
+        parser.add_argument(f"--{name.replace('_', '-')}", type=kind, default=getattr(Settings, name))
+    parser.add_argument("--dedupe", action="store_true", help="one row per flight instead of fan-out copies")
     args = parser.parse_args()
 
-    settings = Settings(timezone=args.timezone)
+    settings = Settings(
+        timezone=args.timezone,
+        taxi_s=args.taxi_s,
+        stride=args.stride,
+        first_hour=args.first_hour,
+        jitter_end=args.jitter_end,
+        jitter_mid=args.jitter_mid,
+        bracket_phase=args.bracket_phase,
+        dedupe=args.dedupe,
+    )
     if args.airport_ids:
         settings = replace(settings, airports=tuple(args.airport_ids))
     if args.passenger_ids:
         settings = replace(settings, passenger_airports=tuple(args.passenger_ids))
     spark = build()
+    if args.records:
+        done = land(spark, args.records, args.flights, args.rejects or f"{args.out}/rejects", settings)
+        print(f"landed {done.fresh} new records on {done.days} days, {done.rejected} lines rejected")
     raw, tables, settings = open_inputs(
         spark, args.flights, args.register, args.curve, args.airports, settings
     )
