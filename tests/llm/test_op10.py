@@ -1,3 +1,4 @@
+import string
 import zlib
 from collections import defaultdict
 
@@ -99,6 +100,16 @@ def test_texts_of_odd_letters_against_the_tokenizer(parts):
     assert words.encode([text]) == [np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_every_letter_that_lower_case_brings_among_the_words():
+    """In words, before marks, and beside capitals; the memo is warm in the second pass."""
+    words, tok = op.WordIds(op.default_tokenizer()), Tokenizer.from_file(op.default_tokenizer())
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and any(op._WORD(x) for x in chr(c).lower())]
+    marks = ["", *string.punctuation, "###", ".!!", "...", "'s", "<|", "|>", "_1", "-a"]
+    texts = [f"{c} x{c}Y{m} {c}{c}{m}" for c in letters for m in marks[:3]] + [f"{c}b{m} ab{m}{c} Q{m}" for c in "aÉıſK" for m in marks]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.encode(texts) == want and words.encode(texts) == want
+
+
 def test_copies_of_a_long_text_go_to_all_groups(spark, tmp_path):
     pieces = op.tokenised(documents(spark, ["many words of one text " * 500] * 1000), op.default_tokenizer(), 64, ["doc_id"], keep_ids=False)
     pieces.write.parquet(str(tmp_path / "pieces"))

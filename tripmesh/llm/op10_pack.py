@@ -9,11 +9,11 @@ nowhere. Only the counts per gap matter, so a step costs one pass over 4096
 numbers. Longer pieces come first: all are known beforehand, and then the rule
 leaves hardly more than one unfilled sequence in a group.
 
-Ids of words come from a memo of white-space separated chunks of bounded size;
-words that it lacks are encoded together and told apart by their last tokens. The
-chunk is a safe unit, as the tokenizer normalises and splits within white space
-only; texts with separators that not all libraries count as white space are
-encoded whole.
+Ids come from a memo of bounded size. The chunks between white space are safe units,
+as the tokenizer normalises and splits within white space only; each distinct one of
+a slice is looked up once, as a lower-case word and the marks after it. Words that the
+memo lacks are encoded together and told apart by their last tokens. Texts with
+separators that not all libraries count as white space are encoded whole.
 
 Defined cases: null text is empty, and an empty text is one piece, the end id
 alone; repeated rows are packed once each; null ids are kept; an empty table
@@ -23,7 +23,8 @@ their names; one named like a result column gives way to it.
 
 from __future__ import annotations
 
-import unicodedata
+import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -40,11 +41,13 @@ LENGTH = 4096
 END_ID = 1
 GROUP_ROWS = 30_000
 MEMO_WORDS = 600_000
+MEMO_LETTERS = 64  # longer ones are encoded each time, so the memo is bounded in bytes
 
 # Separators that str.split knows and the tokenizer may not.
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
-# Words of letters before this one are one word to the tokenizer, whatever follows them.
-_LATIN = "\u0250"
+# A lower-case word of these letters is one unit to the tokenizer, and so are the ASCII marks that end a chunk.
+_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+").fullmatch
+_MARKS = string.punctuation
 
 
 def default_tokenizer() -> str:
@@ -65,7 +68,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.memo = limit, {}
+        self.limit, self.memo, self.odd = limit, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -74,49 +77,47 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, rows, missing = self.memo.get, [], set()
-        for text in texts:
-            if any(c in text for c in _UNSURE):
-                rows.append((None, None))
-                continue
-            chunks = text.split()
-            ids = list(map(get, chunks))
-            if None in ids:
-                missing.update([c for c, i in zip(chunks, ids) if i is None])
-            rows.append((chunks, ids))
-        extra = self._encode_chunks(list(missing))
-        if len(self.memo) < self.limit:
-            self.memo.update(extra)
-        out = []
-        for text, (chunks, ids) in zip(texts, rows):
-            if chunks is None:
-                out.append(self._ids(text).tobytes())
-            elif None in ids:
-                out.append(b"".join([extra[c] if i is None else i for c, i in zip(chunks, ids)]))
+        chunks = [None if any(c in t for c in _UNSURE) else t.split() for t in texts]
+        find = self._chunk_ids(set().union(*[c for c in chunks if c is not None])).__getitem__
+        return [self._ids(t).tobytes() if c is None else b"".join(map(find, c)) for t, c in zip(texts, chunks)]
+
+    def _chunk_ids(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks: those of a lower-case word of the memo and of the marks after it, or of the whole chunk."""
+        marks, found, rest = {"": b""}, {}, []
+        known, whole = self.memo.get, self.odd.get
+        for c in chunks:
+            word = c.rstrip(_MARKS).lower()
+            if (ids := known(word)) is not None:
+                tail = c[len(word) :]
+                if tail not in marks:
+                    marks[tail] = self._ids(tail).tobytes()
+                found[c] = ids + marks[tail]
+            elif (ids := whole(c)) is not None:
+                found[c] = ids
             else:
-                out.append(b"".join(ids))
-        return out
-
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks. Those of a Latin word, with a stop or comma or without, share the ids of the word."""
-        parts = {c: (c, "") if c.isalpha() else (c[:-1], c[-1]) for c in chunks if max(c) < _LATIN and (c.isalpha() or (c[:-1].isalpha() and c[-1] in ".,"))}
-        # Lower case may add a mark to a letter, and that would join what follows.
-        parts = {c: p for c, p in parts.items() if unicodedata.normalize("NFC", p[0]).lower().isalpha()}
-        words = list({w for w, _ in parts.values() if w not in self.memo})
-        ids_of = {}
+                rest.append((c, word))
+        words = self._word_ids(list({w for _, w in rest if _WORD(w)}))
+        odd = {c: self._ids(c).tobytes() for c, w in rest if w not in words}
+        for c, word in rest:
+            if word in words:
+                tail = c[len(word) :]
+                if tail not in marks:
+                    marks[tail] = self._ids(tail).tobytes()
+                found[c] = words[word] + marks[tail]
+        if len(self.memo) + len(self.odd) < self.limit:
+            self.memo.update((w, ids) for w, ids in words.items() if len(w) <= MEMO_LETTERS)
+            self.odd.update((c, ids) for c, ids in odd.items() if len(c) <= MEMO_LETTERS)
+        found.update(odd)
+        return found
+
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
             ids = self._ids(" ".join(part))
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(part):
-                raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-                ids_of.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:]))
-            else:  # lower case made more than a word of one
-                ids_of.update((w, self._ids(w).tobytes()) for w in part)
-        tails = {t: self._ids(t).tobytes() if t else b"" for t in ("", ".", ",")}
-        out = {c: self._ids(c).tobytes() for c in chunks if c not in parts}
-        for c, (word, tail) in parts.items():
-            out[c] = (ids_of[word] if word in ids_of else self.memo[word]) + tails[tail]
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
         return out
 
 
