@@ -60,9 +60,9 @@ def shingles(text, size=4):
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, size=4):
     """docs: (id, text); repeated ids allowed."""
-    sets = [(i, shingles(t)) for i, t in docs]
+    sets = [(i, shingles(t, size)) for i, t in docs]
     root = {i: i for i, _ in docs}
 
     def find(i):

@@ -28,7 +28,7 @@ def test_stages_and_run(spark, small, tmp_path):
     want = {i: h for i, _, _, _, h in line_dedup(pairs["line dedup"])}
     assert {r.doc_id: sha(r.text or "") for r in stages["line dedup"].collect()} == want
 
-    want = sorted(i for i, _, _, kept in near_duplicates(pairs["near dedup"]) if kept)
+    want = sorted(i for i, _, _, kept in near_duplicates(pairs["near dedup"], size=5) if kept)
     assert ids["near dedup"] == want and len(want) < len(pairs["near dedup"])
 
     items = [(r.item_id, r.text) for r in read_table(spark, small, "benchmark").collect()]

@@ -331,7 +331,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, as it came."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    gone = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
