@@ -13,6 +13,10 @@ from tripmesh.llm import op01_decontaminate, op04_line_dedup, op05_toxicity, op0
 from tripmesh.llm.common import read_table, saved
 
 
+# Words of a shingle in the near-dedup stage; the query of the operator alone takes four.
+SHINGLE = 5
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score one half or more go."""
     return op05_toxicity.keep_clean(docs, op05_toxicity.fit(docs, op05_toxicity.training_labels(spark, sf_dir)))
@@ -24,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by the four-word shingles of op7, the document with the smallest id stays."""
-    return op07_near_dedup.keep_first(docs)
+    """Of each group of near duplicates, by shingles of five words, the document with the smallest id stays."""
+    return op07_near_dedup.keep_first(docs, size=SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
