@@ -2,7 +2,9 @@ import pytest
 from dataclasses import replace
 
 from helpers import CURVE_ROWS, SETTINGS, UNMEASURED, curve_row, flights, rounded, rows, tables
+from tripmesh.config import POLLUTANTS
 from tripmesh.operators import emissions
+from tripmesh.operators.lookup import Lookup
 
 REGISTER = [("a", "B1"), ("b", "B2"), ("c", "B3"), ("d", None), ("f", "B1"), ("f", "B2")]
 
@@ -155,3 +157,42 @@ def test_register_is_gated_by_bytes_and_only_hot_vehicles_are_spread(spark):
     assert "strategy=broadcast" in plan(joined(small, SETTINGS))
     assert sorted(map(str, joined(measured, large).collect())) == want and "xxhash64" in plan(joined(measured, large))
     assert sorted(map(str, joined(plain, large).collect())) == want and "xxhash64" not in plan(joined(plain, large))
+
+
+MERGED = replace(SETTINGS, broadcast_bytes=0, bracket_range_s=600)
+
+
+def test_merge_equals_range_join_on_a_long_curve(spark):
+    """10,000 points of one aircraft id; flights below, above, on and between them, and one that a third share."""
+    curve = [*CURVE_ROWS, curve_row("B9", "X9", "LTO", None, 1.0)]
+    t = tables(spark, [*REGISTER, ("g", "B9")], curve)
+    long = spark.range(10_000).selectExpr("'B9' AS typecode", "'X9' AS aircraft_id", "'CCD' AS phase", "100 + 7 * id AS ref_s", *[f"id * 1D + {k} AS {p}" for k, p in enumerate(POLLUTANTS)])
+    points = t.curve.df.unionByName(long.select(*t.curve.df.columns))
+    asked = spark.sql("""
+        SELECT id, nullif(element_at(array('X9', 'X1', 'X2', 'X3', '?'), int(id % 5) + 1), '?') AS aircraft_id,
+               if(id % 3 = 0, 4500, if(id % 97 = 1, NULL, id * 37)) AS duration_s FROM range(3000)
+    """)
+    measured = Lookup.measured(points)
+    broadcast = emissions.ccd_bracket(asked, measured, SETTINGS)
+    merged = emissions.ccd_bracket(asked, measured, MERGED)
+    assert rows(merged) == rows(broadcast) and merged.columns == broadcast.columns
+    assert rows(merged.where("ref_hi_s = ref_lo_s").limit(1), "aircraft_id") and rows(merged.where("ref_hi_s IS NULL AND ref_lo_s > 60000").limit(1), "id")
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("<" not in line and ">=" not in line for line in joins), joins
+
+
+def test_emissions_by_merge(spark):
+    leg = flights(spark, *LEGS, *[("a", 600 + i, 680 + i, "YMML", "YSSY") for i in range(200)])
+    t = tables(spark, REGISTER)
+    want = rows(rounded(emissions.flight_emissions(leg, t, SETTINGS)))
+    assert rows(rounded(emissions.flight_emissions(leg, t, replace(MERGED, salts=3)))) == want
+
+
+def test_merge_on_few_points_and_empty_tables(spark):
+    minutes = [1, 30, 59, 60, 61, 75, 119, 120, 121, 500]
+    named, t, found = bracketed(spark, minutes)
+    assert rows(emissions.ccd_bracket_merge(named, t.curve, MERGED)) == rows(found)
+    bare = Lookup(t.curve.df.limit(0))
+    assert rows(emissions.ccd_bracket_merge(named, bare, MERGED), "ref_hi_s", "co2_lo") == [(None, None)] * named.count()
+    assert rows(emissions.ccd_bracket_merge(named.limit(0), t.curve, MERGED)) == []

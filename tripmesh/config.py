@@ -56,6 +56,8 @@ class Settings:
     broadcast_rows: int = 4_000_000
     # Buckets a shuffled lookup join spreads each hot key over.
     salts: int = 32
+    # Seconds of duration in one sorted group where a curve too large to broadcast is merged with the flights.
+    bracket_range_s: int = 3600
     # Flights one task expands to a day of minutes each (here 72 million rows).
     flights_per_task: int = 50_000
     # Most tasks of an expansion for each core of the cluster.

@@ -110,9 +110,12 @@ def ccd_bracket(flights: DataFrame, curve: Lookup, settings: Settings) -> DataFr
 
     A range join against the curve's segments: one row in, one row out, where a
     join to all curve rows would multiply the flights first. On an exact hit
-    both ends are the hit.
+    both ends are the hit. A curve measured as too large to broadcast is merged
+    instead; one of unknown size stays here, with its segments salted.
     """
     segments = curve.derive(curve_segments(curve_points(curve.df, settings)), factor=2)
+    if curve.rows is not None and not segments.fits(settings):
+        return ccd_bracket_merge(flights, curve, settings)
     d = F.col("duration_s")
     inside = (F.col("from_s").isNull() | (d >= F.col("from_s"))) & (
         F.col("to_s").isNull() | (d < F.col("to_s"))
@@ -128,6 +131,57 @@ def ccd_bracket(flights: DataFrame, curve: Lookup, settings: Settings) -> DataFr
     )
 
 
+def ccd_bracket_merge(flights: DataFrame, curve: Lookup, settings: Settings) -> DataFrame:
+    """The same brackets by merging durations and reference points in sorted order.
+
+    Each distinct (aircraft id, duration) is one row beside the points, so how many
+    flights share it does not matter. Rows are sorted within ranges of
+    ``bracket_range_s`` seconds, and a group holds at most one row a second; the last
+    point below a range and the first one above come from a window over the ranges.
+    No flight meets more than the one row of its duration.
+    """
+    known = F.col("aircraft_id").isNotNull() & F.col("duration_s").isNotNull()
+    points = curve_points(curve.df, settings).where(F.col("aircraft_id").isNotNull())
+    asked = flights.where(known).select("aircraft_id", F.col("duration_s").alias("at_s"), F.lit(None).alias("point"))
+    given = points.select("aircraft_id", F.col("ref_s").alias("at_s"), F.struct("ref_s", "m").alias("point"))
+    merged = (
+        given.unionByName(asked.withColumn("point", F.col("point").cast(given.schema["point"].dataType)))
+        .groupBy("aircraft_id", "at_s")
+        .agg(F.max("point").alias("point"))
+        .withColumn("range", F.floor(F.col("at_s") / settings.bracket_range_s))
+    )
+    within = Window.partitionBy("aircraft_id", "range").orderBy("at_s")
+    found = merged.select(
+        "aircraft_id",
+        "range",
+        "at_s",
+        F.last("point", True).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"),
+        F.first("point", True).over(within.rowsBetween(0, Window.unboundedFollowing)).alias("hi"),
+    )
+    ranges = Window.partitionBy("aircraft_id").orderBy("range")
+    edges = (
+        merged.groupBy("aircraft_id", "range")
+        .agg(F.min("point").alias("least"), F.max("point").alias("most"))
+        .select(
+            "aircraft_id",
+            "range",
+            F.last("most", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
+            F.first("least", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("above"),
+        )
+    )
+    brackets = found.join(edges, ["aircraft_id", "range"]).select(
+        "aircraft_id", F.col("at_s").alias("duration_s"), F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi")
+    )
+    joined = attach(flights, Lookup(brackets), ["aircraft_id", "duration_s"], settings)
+    return joined.selectExpr(
+        *flights.columns,
+        "hi.ref_s AS ref_hi_s",
+        "lo.ref_s AS ref_lo_s",
+        *[f"hi.m.{p} AS {p}_hi" for p in POLLUTANTS],
+        *[f"lo.m.{p} AS {p}_lo" for p in POLLUTANTS],
+    )
+
+
 def ccd_bracket_groupfirst(flights: DataFrame, curve: Lookup, settings: Settings) -> DataFrame:
     """The same brackets per distinct (aircraft id, duration), by grouping candidates.
 
