@@ -5,7 +5,20 @@ import pytest
 from helpers import rounded, rows
 from tripmesh.plans.catalogue import QUERIES
 
-NAMES = ("flight_emissions", "first_departures", "flights_on_date", "final_totals", "overlap_windows")
+NAMES = (
+    "flight_emissions",
+    "first_departures",
+    "flights_on_date",
+    "final_totals",
+    "overlap_windows",
+    "ccd_bracket",
+    "coverage_pivot",
+    "cumulative_emissions",
+    "emissions_timeline",
+    "sampled_positions",
+    "minute_snapshots",
+    "peak_positions",
+)
 
 
 @pytest.fixture(scope="module")

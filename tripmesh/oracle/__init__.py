@@ -14,7 +14,7 @@ from tripmesh.config import POLLUTANTS, PRICED, suffixed
 from tripmesh.plans.fixtures import AIRPORTS, ARRIVALS, CCD_DURATIONS, DEPARTURES
 
 ZONE = "Australia/Sydney"
-MASS, SUM, DEGREES, METRES, MONEY = 3, 1, 5, 1, 0
+MASS, SUM, DEGREES, METRES, MONEY = 3, 3, 5, 3, 2
 
 
 def rounded(expr: str, name: str, digits: int = MASS) -> str:
@@ -440,7 +440,10 @@ SELECTS |= {
     ),
     "sampled_positions": summed(SAMPLED, "day, icao24, dep_s", SEEN, PLACE),
     "project_positions": summed(
-        f"SELECT day, icao24, dep_s, t_s, {X} AS x, {Y} AS y FROM ({SAMPLED})", "day, icao24, dep_s", sums=("x", "y"), digits=0
+        f"SELECT day, icao24, dep_s, t_s, CAST({X} AS DECIMAL(20, 3)) AS x, CAST({Y} AS DECIMAL(20, 3)) AS y FROM ({SAMPLED})",
+        "day, icao24, dep_s",
+        sums=("x", "y"),
+        digits=METRES,
     ),
 }
 

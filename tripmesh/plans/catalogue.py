@@ -45,7 +45,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Decimals kept in registered outputs, by kind of column.
-MASS, SUM, DEGREES, METRES, MONEY = 3, 1, 5, 1, 0
+MASS, SUM, DEGREES, METRES, MONEY = 3, 3, 5, 3, 2
 
 _OPENED: dict[str, tuple[SparkSession, dict[bool, Analysis]]] = {}
 
@@ -367,7 +367,7 @@ SEEN = STATES[2:]
 def summed(panel_: DataFrame, keys, flags=(), sums=(), digits: int = MASS, **by_column: int) -> DataFrame:
     """Rows of a panel per key: how many, from when to when, with each flag, and sums."""
     columns = [F.count("*").alias("n"), F.min("t_s").alias("first_s"), F.max("t_s").alias("last_s")]
-    columns += [F.count_if(f).alias(f) for f in flags] + [F.sum(c).alias(c) for c in sums]
+    columns += [F.count_if(f).alias(f) for f in flags] + [F.sum(c).cast("double").alias(c) for c in sums]
     return shown(panel_.groupBy(*keys).agg(*columns), digits, **by_column)
 
 
@@ -500,7 +500,10 @@ def sampled_positions_on_date(spark, sf_dir):
 
 @query
 def project_positions(spark, sf_dir):
-    return summed(geometry.project_positions(_sampled(analysis(spark, sf_dir))), COPY[:3], sums=["x", "y"], digits=0)
+    projected = geometry.project_positions(_sampled(analysis(spark, sf_dir)))
+    # Millimetres as decimals: sums of 1e10 m as doubles depend on the order of the rows.
+    exact = projected.withColumns({c: F.col(c).cast("decimal(20,3)") for c in ("x", "y")})
+    return summed(exact, COPY[:3], sums=["x", "y"], digits=METRES)
 
 
 @query
