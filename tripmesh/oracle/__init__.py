@@ -408,11 +408,11 @@ SELECTS = {
 
 
 def summed(rows: str, keys: str, flags: str = "", sums=(), digits: int = MASS) -> str:
-    """A panel per key: rows, first and last time, rows with each flag, sums."""
+    """A panel per key: rows, first and last time, rows with each flag, sums in whole millionths."""
     shown_keys = keys.replace("day", DAY, 1)
     parts = [shown_keys, "count(*) AS n, min(t_s) AS first_s, max(t_s) AS last_s"]
     parts += [f"count(*) FILTER (WHERE {f}) AS {f}" for f in flags.split(", ") if f]
-    parts += [rounded(f"sum({c})", c, digits) for c in sums]
+    parts += [rounded(f"sum(CAST(floor({c} * 1e6 + 0.5) AS BIGINT)) / 1e6", c, digits) for c in sums]
     return f"SELECT {', '.join(parts)} FROM ({rows}) GROUP BY {keys}"
 
 
@@ -440,10 +440,10 @@ SELECTS |= {
     ),
     "sampled_positions": summed(SAMPLED, "day, icao24, dep_s", SEEN, PLACE),
     "project_positions": summed(
-        f"SELECT day, icao24, dep_s, t_s, CAST({X} AS DECIMAL(20, 3)) AS x, CAST({Y} AS DECIMAL(20, 3)) AS y FROM ({SAMPLED})",
+        f"SELECT day, icao24, dep_s, t_s, {X} AS x, {Y} AS y FROM ({SAMPLED})",
         "day, icao24, dep_s",
         sums=("x", "y"),
-        digits=METRES,
+        digits=1,
     ),
 }
 
