@@ -4,7 +4,7 @@ from helpers import MIDNIGHT, SETTINGS, flights, minute, rows
 from tripmesh.operators import geometry, panel, sampling, snapshots
 from tripmesh.operators.lookup import Lookup
 from tripmesh.plans import fixtures
-from tripmesh.plans.catalogue import analysis
+from tripmesh.plans.catalogue import analysis, shown
 
 FLAGS = ("has_departed", "has_arrived", "in_air", "taxiing_departure", "taxiing_arrival", "progress")
 
@@ -79,3 +79,12 @@ def test_sampling_keeps_the_last_midnight(spark):
     assert counts == [(286,), (286,)]  # the repeated hour of the second day is before 5:00
     last = times.groupBy("day").agg(F.max("t_local").alias("t"))
     assert last.filter("date_format(t, 'HH:mm') = '00:00'").count() == 2
+
+
+def test_shown_doubles_are_rounded_without_decimals(spark):
+    values = [0.0005, -0.0005, 1.2344999, 1.2345, -1.2345, -1e-9, 0.0, 123456789.0125, 1e300, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    plan = shown(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan.replace("rounded", "")
+    decimals = [r.x for r in df.selectExpr("round(x + 1e-7D, 3) AS x").collect()]
+    assert [str(r.x) for r in shown(df).collect()] == [str(x) for x in decimals]
