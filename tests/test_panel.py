@@ -88,3 +88,19 @@ def test_shown_doubles_are_rounded_without_decimals(spark):
     assert "round(" not in plan.replace("rounded", "")
     decimals = [r.x for r in df.selectExpr("round(x + 1e-7D, 3) AS x").collect()]
     assert [str(r.x) for r in shown(df).collect()] == [str(x) for x in decimals]
+
+
+def test_wall_clocks_of_a_timeline_are_those_of_each_minute(spark, small):
+    from tripmesh.functions.time import local_wall
+
+    a = analysis(spark, small, one_day=True)
+    days = [("2024-03-05", 0), ("2024-04-07", 33 * 86400), ("2024-10-06", 215 * 86400 + 3600)]  # 24, 25 and 23 hours
+    first = a.locate(a.emissions).limit(1)
+    legs = first.crossJoin(spark.createDataFrame(days, "d string, later long"))
+    legs = legs.withColumns({"day": F.to_date("d"), "dep_s": F.lit(MIDNIGHT + 8 * 3600) + F.col("later")})
+    legs = legs.withColumn("arr_s", F.col("dep_s") + 3600).drop("d", "later")
+    whole = panel.timeline(legs, a.settings)
+    assert rows(whole.groupBy("day").agg(F.count("*").alias("n")).select("n")) == [(1381,), (1441,), (1501,)]
+    assert whole.filter(~F.col("t_local").eqNullSafe(local_wall(F.col("t_s"), a.settings.timezone))).count() == 0
+    plan = whole.select("t_local")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnotnull(midnight_s" in plan  # not every minute is converted
