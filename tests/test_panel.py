@@ -1,10 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import MIDNIGHT, SETTINGS, flights, minute, rows
 from tripmesh.operators import geometry, panel, sampling, snapshots
 from tripmesh.operators.lookup import Lookup
 from tripmesh.plans import fixtures
-from tripmesh.plans.catalogue import analysis, shown
+from tripmesh.plans.catalogue import COPY, QUERIES, STATES, analysis, shown, summed, summed_trips
 
 FLAGS = ("has_departed", "has_arrived", "in_air", "taxiing_departure", "taxiing_arrival", "progress")
 
@@ -104,3 +105,27 @@ def test_wall_clocks_of_a_timeline_are_those_of_each_minute(spark, small):
     assert whole.filter(~F.col("t_local").eqNullSafe(local_wall(F.col("t_s"), a.settings.timezone))).count() == 0
     plan = whole.select("t_local")._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN isnotnull(midnight_s" in plan  # not every minute is converted
+
+
+def test_trips_are_summed_by_two_numbers_and_keep_their_columns(spark):
+    from pyspark.sql import Row
+
+    legs = flights(spark, ("a", 600, 660, "YMML", "YSSY"), ("b", 600, 660, "YMML", "YSSY"), ("b", -10, 60, "YMML", "YSSY"))
+    ids = spark.createDataFrame([("a", None), ("a", None), ("a", ""), ("a", "X"), ("b", "X")], "icao24 string, aircraft_id string")
+    copies = legs.join(ids, "icao24")  # one trip twice under a null id; a trip of the day before has no minutes
+
+    def expand(f):
+        return panel.flight_states(panel.timeline_expand(f, SETTINGS), SETTINGS)
+
+    found = summed_trips(copies, expand, COPY, STATES, ["progress"])
+    assert rows(found) == rows(summed(expand(copies), COPY, STATES, ["progress"]))
+    assert rows(found, "icao24", "aircraft_id", "n") == [("a", None, 2882), ("a", "", 1441), ("a", "X", 1441), ("b", "X", 1441)]
+    assert found.where("aircraft_id = 'X' AND icao24 = 'a'").select("first_s", "last_s").first() == Row(minute(0), minute(1440))
+
+
+@pytest.mark.parametrize("name", ["timeline", "flight_states", "timeline_expand"])
+def test_no_row_of_a_panel_is_grouped_by_text(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(i for i, line in enumerate(plan) if "explode(CASE" in line and "t_s" in line)
+    groups = [line for line in plan[:explode] if "Aggregate [" in line and "min(t_s" in line]
+    assert len(groups) == 1 and groups[0].split("Aggregate ")[1].startswith("[trip_a#")
