@@ -123,7 +123,7 @@ def test_trips_are_summed_by_two_numbers_and_keep_their_columns(spark):
     assert found.where("aircraft_id = 'X' AND icao24 = 'a'").select("first_s", "last_s").first() == Row(minute(0), minute(1440))
 
 
-@pytest.mark.parametrize("name", ["timeline", "flight_states", "timeline_expand"])
+@pytest.mark.parametrize("name", ["timeline", "cumulative_emissions", "flight_states", "timeline_expand"])
 def test_no_row_of_a_panel_is_grouped_by_text(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     explode = next(i for i, line in enumerate(plan) if "explode(CASE" in line and "t_s" in line)
